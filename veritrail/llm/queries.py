@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import packing, quality, repeats
-from veritrail.llm.common import table
+from veritrail.llm import decontam, licenses, lines, neardup, packing, private, quality, repeats, rules, shards
+from veritrail.llm.common import shared_dir, table
+
+
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class of near copies, and the least doc_id of the same words."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as small shards and compacted: where each lies in the last version, and a checksum of its text."""
+    store = shards.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"), splits=shards.FANOUT)
+    version = store.compact()
+    store.expire()
+    rows = store.read()
+    if rows is None:
+        rows = table(spark, sf_dir, "documents").where("false")
+    rows = rows.select("doc_id", F.col("_metadata.file_path").alias("path"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    found = rows.join(store.manifest(), "path")
+    shard = F.element_at(F.split("path", "/"), -1)
+    return found.select("doc_id", "text_crc32", shard.alias("shard"), "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.lit(version).alias("version"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.trained(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -26,5 +59,15 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op7_quality, op8_repeats)}
-SQL: dict[str, str] = {}
+def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_neardup, op2_rules, op3_lines, op4_shards, op5_packing, op6_licenses, op7_quality, op8_repeats, op9_private, op10_decontam)
+}
+SQL: dict[str, str] = {"op2_rules": rules.SQL}
