@@ -59,7 +59,7 @@ def bags(col: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nd
     whole = []
     for seed in (11, 23):
         total = np.zeros(n, np.uint64)
-        np.add.at(total, row, mix(words + mix(place + np.uint64(seed) * np.uint64(0x51ED270B9F2D))))
+        np.add.at(total, row, mix(words + mix(place + np.uint64(seed * 0x51ED270B9F2D))))
         whole.append(mix(total + lengths.astype(np.uint64)))
     short = np.flatnonzero((lengths > 0) & (lengths < k))
     owner, shingles = np.concatenate([owner, short]), np.concatenate([shingles, whole[0][short]])
@@ -97,7 +97,7 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n:
     active, step = np.arange(len(at)), 0
     while len(active):
         step += 1
-        s = mix(state[active] + np.uint64(step) * np.uint64(0x9FB21C651E98DF25))
+        s = mix(state[active] + np.uint64(step * 0x9FB21C651E98DF25 % 2**64))
         time[active] += -np.log(_chance(s)) / width[active]
         cell = row[active] * size + (mix(s + np.uint64(1)) >> np.uint64(33)).astype(np.int64) % size
         y = low[active] + (_chance(s + np.uint64(2)) * width[active]).astype(np.int64)
