@@ -1,0 +1,381 @@
+"""The ten operators against brute force on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from veritrail.llm import common, decontam, licenses, lines, neardup, packing, private, quality, repeats, rules, shards
+
+WORDS = [a + b for a in ("ta", "ne", "or", "li", "ou", "sh", "ré") for b in ("n", "st", "ing", "el", "a", "é")]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(("", "", "", ".", ",")) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(7)
+    texts = [None, "", " \n\t ", "one", "one two three four", "one two three four", "a " * 300, prose(rng, 6000)]
+    passage = prose(rng, 60)
+    for _ in range(12):
+        texts.append(prose(rng, rng.randint(5, 120)) + "\n" + passage + "\n" + prose(rng, rng.randint(5, 120)))
+    base = prose(rng, 150).split()
+    for k in range(14):
+        edited = list(base)
+        for _ in range(k % 5):
+            edited[rng.randrange(len(edited))] = "changed%d" % rng.randrange(9)
+        texts.append(" ".join(edited))
+    texts += texts[8:12]
+    texts.append("\n".join([prose(rng, 8)] * 5) + "\n")
+    return texts
+
+
+TEXTS = corpus()
+SPLIT = {i: re.findall(r"[^\x20\x09-\x0D]+", x or "") for i, x in enumerate(TEXTS)}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, x, ("en", "fr", None)[i % 3], f"src{i % 4}", len(x) if x is not None else None) for i, x in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def clash(df):
+    """docs with columns named as the operators' own."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(1).alias(c) for c in ("score", "gone", "label", "rest", "doc", "class_id", "n_removed")])
+
+
+def test_word_hashes():
+    texts = ["a b  c", None, "", "b\tc\n", "é é " + "x" * 5000]
+    found, rows = common.word_hashes(pa.array(texts))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert np.diff(rows).tolist() == [len(w) for w in want]
+    named = defaultdict(set)
+    for w, h in zip([x for w in want for x in w], found.tolist(), strict=True):
+        named[w].add(h)
+    assert all(len(v) == 1 for v in named.values()) and len({min(v) for v in named.values()}) == len(named)
+    for k in (2, 9):
+        g = common.grams(found, k)
+        assert len(g) == len(found) - k + 1
+
+
+def exact_classes(similarity=0.8):
+    bags = {i: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []) for i, w in SPLIT.items()}
+    parent = list(range(len(TEXTS)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in bags:
+        for b in range(a):
+            shared = sum((bags[a] & bags[b]).values())
+            if SPLIT[a] == SPLIT[b] or shared and shared >= similarity * (sum(bags[a].values()) + sum(bags[b].values()) - shared):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in bags}
+
+
+def test_neardup(docs, none):
+    want = exact_classes()
+    got = by_id(neardup.classes(docs))
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    assert all(SPLIT[r["copy_of"]] == SPLIT[i] for i, r in got.items())
+    kept = neardup.deduplicated(clash(docs))
+    assert kept.columns == clash(docs).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert neardup.classes(none).count() == 0
+
+
+def test_neardup_large_buckets(docs, monkeypatch):
+    """With every bucket large, the stars and the blocks across classes find the same."""
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    assert {i: r["class_id"] for i, r in by_id(neardup.classes(docs)).items()} == exact_classes()
+
+
+def test_signatures_are_unbiased():
+    a, b = Counter({i: 1 + i % 3 for i in range(60)}), Counter({i: 1 + i % 2 for i in range(20, 80)})
+    table = []
+    for bag in (a, b):
+        keys = common.mix(np.array(sorted(bag), np.uint64) + np.uint64(1))
+        table.append(neardup.signatures(np.zeros(len(bag), np.int64), keys, np.array([bag[k] for k in sorted(bag)]), 1, 8192)[0])
+    want = sum((a & b).values()) / sum((a | b).values())
+    assert abs((table[0] == table[1]).mean() - want) < 0.025
+
+
+def test_rules(docs, none, spark):
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0, None) for i in range(20)] + [(3, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    got = by_id(rules.judged(docs, labels))
+    assert len(got) == len(TEXTS)
+    for i, w in SPLIT.items():
+        where = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        covered = {j + k for j in range(len(w) - 2) if where[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        held = [x for x in (TEXTS[i] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", TEXTS[i] or "")), len(held) - len(set(held)), len(covered))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+    assert rules.judged(none, labels).count() == 0
+
+
+def test_thresholds_bound_the_risk(spark):
+    """A rule that rejects no good document may be used once labels suffice; one that rejects many may not."""
+    columns = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_word_lines_short long, n_repeat_words long"
+    rows = [(i, "en", 100, 500, 0, 10, 4 if i % 4 else 0, 0, 0) for i in range(3000)] + [(9000 + i, "fr", 100, 500, 0, 10, 0, 0, 0) for i in range(20)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in rules.thresholds(spark.createDataFrame(rows, columns), labels).collect()}
+    assert got == {("en", "symbols"): 20, ("en", "repeats"): 20, ("en", "one_line"): 20, ("en", "dup_lines"): 400}
+
+
+def test_lines(docs, none, spark):
+    assert lines.aligned(list("abcd"), list("xbcy")) == [(1, 1), (2, 2)]
+    assert lines.aligned(list("aba"), list("aca")) == [(0, 0), (2, 2)]
+    assert lines.aligned([], [1]) == []
+    got = by_id(lines.digest(docs))
+    hold = lambda x: [tuple(y.split()) for y in x.split("\n")] if x else []
+    first = {}
+    for i, x in enumerate(TEXTS):
+        for y in hold(x):
+            if len(y) >= lines.MIN_WORDS:
+                first.setdefault(y, i)
+    for i, x in enumerate(TEXTS):
+        mine, gone = hold(x), set()
+        for k in {first[y] for y in mine if len(y) >= lines.MIN_WORDS and first[y] < i}:
+            gone |= lines.common_lines(hold(TEXTS[k]), mine, [len(y) >= lines.MIN_WORDS for y in mine])
+        left = "\n".join(y for j, y in enumerate(x.split("\n")) if j not in gone) if gone else x or ""
+        assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(mine), len(gone), hashlib.sha256(left.encode()).hexdigest()), i
+    assert sum(r["n_removed"] for r in got.values()) > 10
+    assert lines.digest(none).count() == 0
+    whole = lines.without_common_lines(clash(docs))
+    assert whole.count() == len(TEXTS)
+
+
+def test_shards(spark, docs, tmp_path):
+    store = shards.Store(spark, f"file://{tmp_path}/store", target_bytes=40_000, fanout=2)
+    assert store.version() == 0 and store.read() is None and store.manifest().count() == 0
+    for k in range(4):
+        store.append(docs.where(f"doc_id % 4 = {k}"), splits=2)
+    before = store.manifest().count()
+    held = store.version()
+    assert store.compact() > held
+    assert store.manifest().count() < before
+    read = lambda v=None: sorted((r["doc_id"], r["text"]) for r in store.read(v).collect())
+    assert read() == read(held) == sorted(enumerate(TEXTS))
+    with pytest.raises(RuntimeError):
+        store.commit(store.manifest(), held - 1)
+    assert read() == sorted(enumerate(TEXTS))
+    store.expire()
+    assert len(store.versions()) == 1 and read() == sorted(enumerate(TEXTS))
+    store.append(docs.where("false"))
+    assert read() == sorted(enumerate(TEXTS))
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = packing.packed(clash(docs), capacity=1024, piece=300, block=4).collect()
+    ids = {i: [*tokenizer.encode(x or "", add_special_tokens=False).ids, packing.END_ID] for i, x in enumerate(TEXTS)}
+    seen, filled = defaultdict(list), defaultdict(list)
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) and r["length"] == len(part) > 0
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        seen[r["doc_id"]].append((r["start"], r["length"]))
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts, total in [*((seen[i], len(x)) for i, x in ids.items()), *((f, None) for f in filled.values())]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 1024
+    assert packing.packed(none).count() == 0
+
+
+def test_differencing():
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 512) for _ in range(700)]
+    found = packing.windows(sizes, 4096)
+    sums = np.bincount(found, weights=sizes)
+    assert sums.max() <= 4096 and len(sums) <= -(-sum(sizes) // 4096) + 2
+    assert packing.differenced([8, 7, 6, 5, 4], 2).tolist() in ([0, 0, 1, 1, 1], [1, 1, 0, 0, 0], [0, 1, 1, 0, 0], [1, 0, 0, 1, 1], [0, 1, 0, 1, 1], [1, 0, 1, 0, 0])
+
+
+def test_licenses(spark):
+    rng = random.Random(5)
+    notices = dict(licenses.TEMPLATES)
+    rows = [(i, prose(rng, 40) + " " + notices[n] + " " + prose(rng, 40), n) for i, n in enumerate(sorted(notices))]
+    two = notices["MIT"] + "\n" + notices["MIT"] + " " + notices["Apache-2.0"].upper()
+    rows += [(100, two, None), (101, None, None), (102, "", None), (103, prose(rng, 200), None), (104, "permission license free software", None)]
+    got = defaultdict(list)
+    for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        got[r["doc_id"]].append(r)
+    for i, _, name in rows[: len(notices)]:
+        assert [(r["license"], r["coverage"]) for r in got[i]] == [(name, 1.0)], name
+    assert sorted(r["license"] for r in got[100]) == ["Apache-2.0", "MIT", "MIT"]
+    assert not got.keys() & {101, 102, 103, 104}
+    damaged = notices["Apache-2.0-header"].replace("compliance", "accordance").replace("warranties", "promises")
+    found = licenses.scanned(spark.createDataFrame([(1, damaged)], "doc_id long, text string")).collect()
+    assert [r["license"] for r in found] == ["Apache-2.0-header"] and found[0]["coverage"] > 0.9
+
+
+def test_quality(spark, docs, sf):
+    from pyspark.sql import functions as F
+
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    weights = quality.trained(texts, labels, ~quality.held_out(F.col("doc_id")))
+    scored = quality.scored(texts, weights).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("score", "quality").collect()
+    good, bad = [r[0] for r in scored if r[1] == 1], [r[0] for r in scored if r[1] == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    kept = quality.keep_good(clash(docs), weights, 0.0)
+    assert kept.columns == clash(docs).columns and kept.count() == len(TEXTS)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(enumerate(TEXTS))
+    found = by_id(quality.scored(docs, weights))
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[0]["score"] == found[1]["score"]
+    assert not quality.trained(texts, labels.where("false"), F.lit(True)).any()
+
+
+def test_quality_ids_and_splits(spark):
+    from pyspark.sql import functions as F
+
+    got = {r[0]: r[1] for r in spark.range(50).select("id", quality.held_out(F.col("id"))).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
+
+
+@pytest.mark.parametrize("window", [35, 22])
+def test_repeats(docs, none, window):
+    count = Counter(tuple(w[i : i + window]) for w in SPLIT.values() for i in range(len(w) - window + 1))
+    got = by_id(repeats.without_repeats(clash(docs), window, with_text=True))
+    for i, w in SPLIT.items():
+        gone = {j + k for j in range(len(w) - window + 1) if count[tuple(w[j : j + window])] > 1 for k in range(window)}
+        text = " ".join(x for j, x in enumerate(w) if j not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (len(w), len(gone), text), i
+        assert got[i]["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert repeats.without_repeats(none).count() == 0
+    with pytest.raises(ValueError):
+        repeats.without_repeats(docs, 10)
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    twice = [sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))]
+    return sum(twice) % 10 == 0
+
+
+def base_spans(x):
+    tests = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 16 <= len(re.sub("[ -]", "", m)) <= 19 and luhn(re.sub("[ -]", "", m)),
+        "phone": lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    return [f"{k}:{m.start()}:{m.end()}" for k, rx in BASE.items() for m in re.finditer(rx, x) if tests[k](m[0])]
+
+
+def test_private(spark):
+    texts = [
+        None, "", "plain", "a.b@c.d-e@f.g _x@y.z a@b", "é 🙂 mail x@y.example, ip 1.2.3.4 and 1.2.3.4.5.6.7.8 or 300.1.1.1 or 001.02.3.0004", "card 4539 1488 0343 6467 or 4539148803436467, 4539148803436468",
+        "+1 (415) 555-0100 +1 +12 34 5678 9012 3456 7890 call +49-30-1234567.", "1" * 5000 + "@" + "a" * 5000, "x@" * 400 + "y.z", "12-34-56", "a@b.c_d@e.f", "\n+1\n234",
+    ]
+    rows = [(i, x, 1) for i, x in enumerate(texts)]
+    got = by_id(private.digest(spark.createDataFrame(rows, "doc_id long, text string, base int")))
+    for i, x in enumerate(texts):
+        want = base_spans(x or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, want, got[i])
+        assert [got[i][f"n_{k}"] for k in private.KINDS] == [sum(s.startswith(k) for s in want) for k in private.KINDS]
+        assert set(want) <= set(got[i]["spans"].split(",")) | {""}
+    out = by_id(private.redacted(spark.createDataFrame([(1, "é x@y.example 1.2.3.4 !"), (2, None), (3, "none")], "doc_id long, text string")))
+    assert [out[i]["text"] for i in (1, 2, 3)] == ["é [email] [ip] !", None, "none"]
+    assert private.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_boosted_adds_what_context_vouches_for():
+    rows = [(0b01, 90.0, 100.0), (0b11, 100.0, 100.0), (0b10, 1.0, 100.0), (0b00, 0.0, 200.0)]
+    model = private.Boosted(rows, 2)
+    least = private.calibrated(model, rows, 0.9)
+    assert model.margin(0b11) >= least > model.margin(0b10)
+    assert private.calibrated(private.Boosted([]), []) is None
+
+
+def edit_distance_anywhere(p, x):
+    row = [0] * (len(x) + 1)
+    for i, w in enumerate(p, 1):
+        last, row = row, [i] + [0] * len(x)
+        for j, v in enumerate(x, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (w != v))
+    return min(row)
+
+
+def test_myers():
+    rng = random.Random(11)
+    for _ in range(200):
+        p, x = ([rng.randrange(4) for _ in range(rng.randint(1, n))] for n in (12, 40))
+        want = edit_distance_anywhere(p, x)
+        got = decontam.myers(p, x, len(p))
+        assert got[0] == want
+
+
+def test_decontam(spark, docs):
+    rng = random.Random(13)
+    items = [(0, prose(rng, 40)), (1, prose(rng, 17)), (2, "short one here"), (3, None), (4, ""), (5, prose(rng, 40))]
+    at = items[0][1].split()
+    near = at[:5] + ["x"] + at[5:20] + at[22:]
+    far = [w if k % 3 else "y" for k, w in enumerate(at)]
+    texts = [prose(rng, 30) + " " + items[0][1].upper() + ". " + prose(rng, 9), " ".join(near), " ".join(far), "a Short, one - HERE!", items[1][1] + " " + items[1][1], None, "", prose(rng, 300), items[5][1]]
+    rows = spark.createDataFrame([(i, x, 0) for i, x in enumerate(texts)], "doc_id long, text string, distance int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    want = {}
+    for i, x in enumerate(texts):
+        for k, y in items:
+            p = words(y)
+            if p and words(x) and (n := edit_distance_anywhere(p, words(x))) <= decontam.budget(len(p)):
+                want[i, k] = n
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.matches(rows, bench).collect()}
+    assert got == want and set(got) >= {(0, 0), (1, 0), (3, 2), (4, 1), (8, 5)}
+    assert sorted(r["doc_id"] for r in decontam.clean(rows, bench).collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+    assert decontam.matches(rows, bench.where("false")).count() == 0
+    assert decontam.clean(clash(docs), bench.where("item_id = 0")).columns == clash(docs).columns
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (name, stage) in enumerate(p.STAGES):
+        before = docs
+        docs = stage(spark, docs, sf)
+        if k < len(p.STAGES) - 1:
+            assert docs.columns == p.COLUMNS, name
+            docs = common.written(docs, "stage")
+            assert 0 < docs.count() <= before.count()
+    assert docs.select("doc_id").distinct().count() == before.count()
+    assert sorted(map(tuple, p.run(spark, sf).select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "start", "ids_crc32").collect()))
