@@ -146,14 +146,19 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
             total *= BASE
             total += words[j : j + n]
         return mix(total)
+    return ranges(words, np.arange(n), np.arange(k, k + n))
+
+
+def ranges(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words of each range, which depends on nothing else."""
     powers = np.full(len(words) + 1, BASE, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers[:-1], out=sums[1:])
-    back = np.full(n, BASE_INV, np.uint64)
+    back = np.full(len(words) + 1, BASE_INV, np.uint64)
     back[0] = 1
-    return mix((sums[k:] - sums[:n]) * np.cumprod(back))
+    return mix((sums[end] - sums[first]) * np.cumprod(back)[first])
 
 
 def in_row(rows: np.ndarray, k: int) -> np.ndarray:

@@ -11,10 +11,12 @@ have equal boundaries, but for REACH words at their ends, and at least one of th
 
 Of those boundaries, the ones with the smallest name within a window's inner span are
 anchors; each carries the name of the REACH words on both sides. A window of words that
-stands elsewhere has an anchor whose name stands elsewhere, at the same offset. Names
-that stand once are dropped; windows around the rest are verified by a 96-bit hash of
-their words. Every row is taken, no group is capped, and what is dealt out by name
-passes through partial counts and joins that Spark can split.
+stands elsewhere has the same least anchor there, at the same offset. Names that stand
+once are dropped. The windows of one anchor are a stretch of words: a stretch that
+stands twice as a whole has all its windows repeated, which settles the inside of every
+copy with one row an anchor. Only where stretches of one name differ, at the ends of
+copies, are single windows compared, one holder of each stretch standing for all.
+Stretches and windows are told apart by 64 bits besides the 64 of the name.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose
 nothing; a window that stands twice in one text counts as repeated, overlaps included;
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import dropped, grams, hashes, in_row, mix, row_of, slices, spans, text_bytes, written
+from veritrail.llm.common import dropped, grams, hashes, in_row, mix, ranges, row_of, slices, spans, text_bytes, written
 
 WINDOW = 35
 ROUNDS = 3
@@ -58,7 +60,7 @@ def boundaries(words: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> np.
 
 
 def _slid(values: np.ndarray, span: int, best) -> np.ndarray:
-    """best (np.minimum or np.maximum) of each span of values."""
+    """best of each span of values; best takes arrays of the earlier and the later."""
     width = 1
     while 2 * width <= span:
         values = best(values[: max(0, len(values) - width)], values[width:])
@@ -119,27 +121,36 @@ def _anchored(window: int):
     return run
 
 
-def _shared_windows(window: int):
-    """Windows whose least anchor stands elsewhere too: their hashes, for those documents that have any."""
+def _stretches(window: int):
+    """For each anchor whose name stands elsewhere too: the first of its windows, their hashes, and a hash of all their words."""
+    span = window - 2 * REACH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             *_, rows, words = _hashed(batch)
+            at, names, ranks = _ranks(words, rows)
             lists = batch["anchors"].to_pylist()
-            known = np.array([i for x in lists if x for i in x], np.int64) + np.repeat(rows[:-1], [len(x) if x else 0 for x in lists])
-            _, _, ranks = _ranks(words, rows)
-            least = _window_ranks(ranks, rows, window)
-            found = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-            found[known] = ranks[known]
-            p = np.flatnonzero((least > 0) & (_window_ranks(found, rows, window) == least))
-            name = grams(words, window)[p] if len(p) else np.zeros(0, np.uint64)
-            check = grams(mix(words + np.uint64(77)), window)[p] if len(p) else np.zeros(0, np.uint64)
-            row = row_of(rows)[p]
+            known = np.zeros(len(words), bool)
+            known[np.array([i for x in lists if x for i in x], np.int64) + np.repeat(rows[:-1], [len(x) if x else 0 for x in lists])] = True
+            ok = in_row(rows, window)
+            # The first of the least anchors of each window: a matter of the window's own words.
+            least = _slid(np.arange(len(words)), span, lambda i, j: np.where(ranks[i] <= ranks[j], i, j))[REACH : REACH + len(ok)]
+            p = np.flatnonzero(ok & known[least]) if len(ok) else np.zeros(0, np.int64)
+            anchor = least[p]
+            first = np.ones(len(p), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)
+            begin = np.flatnonzero(first)
+            count = np.diff(np.append(begin, len(p)))
+            lo, anchor = p[begin], anchor[begin]
+            whole = ranges(words, lo, lo + count - 1 + window)
+            stretch = mix(whole + (count * 4096 + (anchor - lo)).astype(np.uint64))
+            name = names[np.searchsorted(at, anchor)]
+            hashed = grams(words, window)[p] if len(p) else np.zeros(0, np.uint64)
+            row = row_of(rows)[lo]
             doc = batch["doc"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc[row]), pa.array((p - rows[row]).astype(np.int32))],
-                names=["name", "check", "doc", "at"],
-            )
+            windows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(p)).astype(np.int32)), pa.array(hashed.view(np.int64)))
+            columns = [pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(doc[row]), pa.array((lo - rows[row]).astype(np.int32)), windows]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "stretch", "doc", "lo", "windows"])
 
     return run
 
@@ -154,7 +165,7 @@ def _cut(window: int, with_text: bool):
                 a, b = rows[k], rows[k + 1]
                 gone = np.zeros(b - a + 1, np.int64)
                 if found:
-                    p = np.array(found, np.int64)
+                    p = np.array([f["lo"] + i for f in found for i in range(f["k"]) if f["mask"] >> i & 1], np.int64)
                     np.add.at(gone, p, 1)
                     np.add.at(gone, p + window, -1)
                 kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
@@ -185,9 +196,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-1)))
     found = written(_repeated(docs.mapInArrow(_anchored(window), "name long, doc long, at int"), ["name"]).select("doc", "at"), "anchors")
     per_doc = found.groupBy("doc").agg(F.collect_list("at").alias("anchors"))
-    shared = docs.join(per_doc, "doc").mapInArrow(_shared_windows(window), "name long, check int, doc long, at int")
-    shared = written(shared, "windows")
-    starts = written(_repeated(shared, ["name", "check"]).groupBy("doc").agg(F.collect_list("at").alias("repeated")), "repeats")
-    dropped(spark, found, shared)
+    held = written(docs.join(per_doc, "doc").mapInArrow(_stretches(window), "name long, stretch long, doc long, lo int, windows array<long>"), "stretches")
+    dropped(spark, found)
+    kinds = written(held.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo")).alias("holder")), "stretch-kinds")
+    # Names of which a stretch stands once and others beside it: their windows are compared singly.
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("name")
+    holders = kinds.join(mixed, "name").select("name", "stretch", "holder.doc", "holder.lo")
+    single = held.join(holders, ["name", "stretch", "doc", "lo"]).select("name", "stretch", F.posexplode("windows").alias("i", "window"))
+    single = written(single, "single-windows")
+    again = _repeated(single, ["name", "window"]).groupBy("name", "stretch").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    masks = kinds.join(again, ["name", "stretch"], "left").selectExpr("name", "stretch", "CASE WHEN n > 1 THEN -1L ELSE mask END AS mask").where("mask IS NOT NULL")
+    rows = held.selectExpr("name", "stretch", "doc", "lo", "size(windows) AS k").join(masks, ["name", "stretch"])
+    starts = written(rows.groupBy("doc").agg(F.collect_list(F.struct("lo", "k", "mask")).alias("repeated")), "repeats")
+    dropped(spark, held, kinds, single)
     out = docs.join(starts, "doc", "left").mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
