@@ -154,10 +154,28 @@ def g5_bootstrap(d: Spark) -> str:
 
 
 def _reviews(d: Spark) -> str:
-    """Three rule reviewers over a label and a coverage."""
-    return """reviews AS (SELECT qid, gap, CASE WHEN gap = 'complete' THEN CASE WHEN coverage >= 0.999 THEN 'match' WHEN coverage >= 0.8 THEN 'ambiguous' ELSE 'mismatch' END ELSE CASE WHEN coverage < 0.8 THEN 'match' WHEN coverage < 0.999 THEN 'ambiguous' ELSE 'mismatch' END END AS a,
-  CASE WHEN gap = 'complete' THEN CASE WHEN coverage >= 0.9 THEN 'match' ELSE 'mismatch' END ELSE CASE WHEN coverage < 0.9 THEN 'match' ELSE 'mismatch' END END AS b,
-  CASE WHEN gap = 'missing_entities' THEN CASE WHEN coverage < 0.999 THEN 'match' ELSE 'mismatch' END WHEN selected THEN 'match' ELSE 'ambiguous' END AS c FROM (SELECT *, f1 AS coverage FROM audit) covered)"""
+    """Three rule reviewers of a gap label: by the gold chain, by what the reader saw, and a cautious one."""
+    strict = """CASE gap WHEN 'complete' THEN CASE WHEN pair_recall >= 0.999 AND connected THEN 'match' ELSE 'mismatch' END
+    WHEN 'missing_entities' THEN CASE WHEN entity_coverage < 0.999 THEN 'match' ELSE 'mismatch' END
+    WHEN 'disconnected' THEN CASE WHEN entity_coverage >= 0.999 AND NOT connected THEN 'match' WHEN relation_recall < 0.999 AND pair_recall >= 0.999 THEN 'ambiguous' ELSE 'mismatch' END
+    WHEN 'short_chain' THEN CASE WHEN pair_recall > 0 AND pair_recall < 0.999 THEN 'match' ELSE 'mismatch' END ELSE 'ambiguous' END"""
+    seen = "(support_recall >= 0.999 AND reader_coverage >= 0.9)"
+    support = f"""CASE gap WHEN 'complete' THEN CASE WHEN {seen} AND (em > 0 OR pair_recall >= 0.999) THEN 'match' ELSE 'ambiguous' END
+    WHEN 'missing_entities' THEN CASE WHEN {seen} AND entity_coverage < 0.999 THEN 'match' WHEN NOT {seen} THEN 'ambiguous' ELSE 'mismatch' END
+    WHEN 'disconnected' THEN CASE WHEN entity_coverage >= 0.999 AND pair_recall < 0.999 THEN 'match' ELSE 'ambiguous' END
+    WHEN 'short_chain' THEN CASE WHEN pair_recall > 0 AND pair_recall < 0.999 THEN 'match' ELSE 'mismatch' END ELSE 'ambiguous' END"""
+    good = "((em >= 1 OR f1 >= 0.8) AND support_recall >= 0.999)"
+    cautious = f"""CASE gap WHEN 'complete' THEN CASE WHEN {good} AND (pair_recall >= 0.999 OR connected) THEN 'match' WHEN {good} THEN 'ambiguous' ELSE 'mismatch' END
+    WHEN 'missing_entities' THEN CASE WHEN entity_coverage < 0.999 AND pair_recall < 0.999 THEN 'match' ELSE 'ambiguous' END
+    WHEN 'disconnected' THEN CASE WHEN entity_coverage >= 0.999 AND (NOT connected OR relation_recall < 0.999) THEN 'match' ELSE 'ambiguous' END
+    WHEN 'short_chain' THEN CASE WHEN pair_recall > 0 AND pair_recall < 0.999 THEN 'match' ELSE 'ambiguous' END ELSE 'ambiguous' END"""
+    return f"{gold(d)}, reviews AS (SELECT qid, gap, {strict} AS a, {support} AS b, {cautious} AS c FROM gold)"
+
+
+def gold(d: Spark) -> str:
+    """Gold metrics of each audited row, derived from its length."""
+    part = lambda n, k: f"round(cast((n_chars * {k}) % {n} AS double) / {n - 1}, 4)"
+    return f"""gold AS (SELECT *, {part(3, 1)} AS entity_coverage, {part(4, 3)} AS pair_recall, {part(5, 3)} AS relation_recall, {part(2, 1)} AS support_recall, {part(7, 5)} AS reader_coverage, n_chars % 6 < 3 AS connected FROM audit)"""
 
 
 def g20_majority(d: Spark) -> str:
