@@ -106,9 +106,11 @@ def test_neardup(docs, none):
     assert neardup.classes(none).count() == 0
 
 
-def test_neardup_large_buckets(docs, monkeypatch):
-    """With every bucket large, the stars and the blocks across classes find the same."""
-    monkeypatch.setattr(neardup, "SMALL", 1)
+@pytest.mark.parametrize(("words", "giant"), [(300, 1000), (300, 1)])
+def test_neardup_in_blocks(docs, monkeypatch, words, giant):
+    """Components in many blocks, and giant ones by buckets, give the same."""
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", words)
+    monkeypatch.setattr(neardup, "GIANT", giant)
     assert {i: r["class_id"] for i, r in by_id(neardup.classes(docs)).items()} == exact_classes()
 
 
@@ -215,9 +217,14 @@ def test_packing(docs, none):
 def test_differencing():
     rng = random.Random(3)
     sizes = [rng.randint(1, 512) for _ in range(700)]
-    found = packing.windows(sizes, 4096)
-    sums = np.bincount(found, weights=sizes)
-    assert sums.max() <= 4096 and len(sums) <= -(-sum(sizes) // 4096) + 2
+    sums = np.bincount(packing.differenced(sizes, 44), weights=sizes)
+    assert len(sums) == 44 and sums.max() < 1.05 * sums.min()
+    for taken in (sizes, [4096] * 3, [1], [512] * 8 + [1]):
+        found = packing.windows(taken, 4096)
+        assert len(found) == -(-sum(taken) // 4096) and max(sum(n for _, _, n in w) for w in found) <= 4096
+        parts = sorted(x for w in found for x in w)
+        assert [i for i, b, _ in parts if b == 0] == list(range(len(taken)))
+        assert np.bincount([i for i, _, _ in parts], weights=[n for _, _, n in parts]).tolist() == taken
     assert packing.differenced([8, 7, 6, 5, 4], 2).tolist() in ([0, 0, 1, 1, 1], [1, 1, 0, 0, 0], [0, 1, 1, 0, 0], [1, 0, 0, 1, 1], [0, 1, 0, 1, 1], [1, 0, 1, 0, 0])
 
 
