@@ -8,12 +8,15 @@ fell on it, so two texts agree on a component with the chance of their weighted
 similarity, whatever the weights. Points are made in rounds over a whole batch, and a
 process ends once its time is past the latest component of its text.
 
-Texts of the same words are one text from the start (class of copies). Buckets of equal
-bands give candidate pairs: all pairs in buckets of at most SMALL texts; in larger ones
-each text with the bucket's first, and then, only where a bucket still holds several
-classes, the texts outside its first class against all, in bounded blocks. Estimates
-from signatures (far below the limit) spare exact checks; what is left is verified on
-the bags themselves. Links make classes through rounds of min-label stars.
+Texts of the same words are one text from the start (class of copies). Texts that share
+a bucket of equal bands are candidates; buckets that share a text make components, and
+every text's bag is sent to its component once. There, an inverted index of shingles
+gives the exact overlap of each text with all others, and links are joined as they are
+found, so no more come out than there are texts. A component of more than BLOCK_WORDS is
+split into blocks, each pair of which is one group. One of over GIANT blocks is not
+compared throughout: its texts are verified against the first text of each of their
+buckets, and only those in another class than their bucket's first text are compared, with
+all texts of that bucket. Links make classes through rounds of min-label stars.
 
 A pair of similarity 0.8 escapes all bands with a chance of (1 - 0.8 ** 5) ** 25, 5e-5.
 
@@ -39,10 +42,10 @@ SIMILARITY = 0.8
 SIZE = 128
 BAND = 5
 BANDS = SIZE // BAND
-SMALL = 48
-#: Estimates over SIZE components have a deviation of 0.035 at 0.8; this lies over four below.
-ESTIMATE = 0.64
-LEFT_BLOCK, RIGHT_BLOCK = 128, 2048
+#: Shingles of the texts that one group compares with each other.
+BLOCK_WORDS = 400_000
+#: Blocks of a component from which on it is compared by buckets.
+GIANT = 16
 
 
 def bags(col: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,16 +138,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree on at least ESTIMATE of their components."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, SIZE) for c in ("sign_a", "sign_b"))
-        kept = pa.array((a == b).mean(1) >= ESTIMATE)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(kept)
-
-
 def _bag_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's bag as a sorted set: the i-th of equal shingles has a name of its own."""
     for batch in slices(batches):
@@ -156,7 +149,7 @@ def _bag_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = names[np.lexsort((names, row))]
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
         sets = [names[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(sets, pa.binary())], names=["doc", "bag"])
+        yield pa.RecordBatch.from_arrays([batch["doc"], batch["component"], pa.array(np.diff(cuts)), pa.array(sets, pa.binary())], names=["doc", "component", "n", "bag"])
 
 
 def _verified(similarity: float):
@@ -175,19 +168,45 @@ def _verified(similarity: float):
     return run
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Likely pairs of a block's left and right texts that are of different classes."""
-    left = np.array(table["left"].to_pylist(), bool)
-    doc, label = table["doc"].to_numpy(), table["label"].to_numpy()
-    signs = np.frombuffer(b"".join(table["sign"].to_pylist()), "<u4").reshape(-1, SIZE)
-    a, b = [], []
-    right = np.flatnonzero(~left)
-    for i in np.flatnonzero(left):
-        near = right[((signs[right] == signs[i]).mean(1) >= ESTIMATE) & (label[right] != label[i])]
-        a.append(np.minimum(doc[i], doc[near]))
-        b.append(np.maximum(doc[i], doc[near]))
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+def _joined(similarity: float):
+    """Links between the texts of a group, no more than join their classes: of all its texts, or of left ones with the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc")
+        doc, label = table["doc"].to_numpy(), table["label"].to_numpy()
+        left = np.array(table["left"].to_pylist(), bool)
+        own = bool(table["own"][0].as_py())  # every text is on both sides
+        bags = [np.frombuffer(x.as_buffer(), "<u8") for x in table["bag"]]
+        sizes = np.array([len(x) for x in bags])
+        right = np.arange(len(doc)) if own else np.flatnonzero(~left)
+        postings = np.concatenate([np.zeros(0, np.uint64), *[bags[i] for i in right]])
+        holder = np.repeat(right, sizes[right])
+        order = np.argsort(postings, kind="stable")
+        postings, holder = postings[order], holder[order]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        links = []
+        for i in range(len(doc)) if own else np.flatnonzero(left).tolist():
+            lo, hi = (np.searchsorted(postings, bags[i], side) for side in ("left", "right"))
+            many = hi - lo
+            at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+            shared = np.bincount(holder[at], minlength=len(doc))
+            near = np.flatnonzero((shared > 0) & (shared >= similarity * (sizes + sizes[i] - shared)))
+            for k in near.tolist():
+                a, b = root(int(label[i])), root(int(label[k]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((doc[i], doc[k]))
+        columns = [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)]
+        return pa.table(columns, names=["a", "b"])
+
+    return run
 
 
 def labelled(links: DataFrame) -> DataFrame:
@@ -214,13 +233,37 @@ def labelled(links: DataFrame) -> DataFrame:
     return edges.selectExpr("a AS doc", "b AS label").unionByName(edges.selectExpr("b AS doc", "b AS label").distinct())
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) that are similar, verified on whole bags."""
-    ids = pairs.selectExpr("inline(array(struct(a AS doc), struct(b AS doc)))").distinct()
-    sets = written(texts.join(ids, "doc", "left_semi").mapInArrow(_bag_sets, "doc long, bag binary"), "bags")
     rows = pairs.join(sets.selectExpr("doc AS a", "bag AS bag_a"), "a").join(sets.selectExpr("doc AS b", "bag AS bag_b"), "b")
-    out = written(rows.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(similarity), "a long, b long"), "similar")
-    dropped(pairs.sparkSession, sets)
+    return written(rows.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(similarity), "a long, b long"), "similar")
+
+
+def _within(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links within components, by pairs of blocks; sets has blocks, the number of blocks of a text's component."""
+    rows = sets.selectExpr("component", "doc", "bag", "doc AS label", "cast(pmod(xxhash64(doc), blocks) AS int) AS mine", "explode(sequence(0, cast(blocks AS int) - 1)) AS other")
+    rows = rows.selectExpr("component", "least(mine, other) AS i", "greatest(mine, other) AS j", "doc", "label", "bag", "mine <= other AS left", "mine = other AS own")
+    # A pair of blocks has the first on its left; a block with itself has all on both sides.
+    return rows.groupBy("component", "i", "j").applyInArrow(_joined(similarity), "a long, b long")
+
+
+def _by_buckets(held: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links within giant components: of texts with the first of each of their buckets, then of those of other classes with their buckets."""
+    spark = sets.sparkSession
+    mine = written(held.join(sets.select("doc", "n"), "doc").select("key", "doc", "pivot", "n"), "giant-buckets")
+    stars = _verify(mine.where("doc <> pivot").selectExpr("pivot AS a", "doc AS b").distinct(), sets, similarity)
+    label = F.coalesce("label", "doc")
+    known = mine.join(labelled(stars), "doc", "left").select("key", "doc", "pivot", "n", label.alias("label"))
+    first = written(known.where("doc = pivot").selectExpr("key", "label AS main"), "giant-firsts")
+    known = written(known.join(first, "key").selectExpr("key", "doc", "n", "label", "label <> main AS outside"), "giant-classes")
+    sizes = known.groupBy("key").agg(F.sum(F.when(F.col("outside"), F.col("n"))).alias("rest"), F.sum("n").alias("words")).where("rest > 0")
+    sizes = written(sizes.selectExpr("key", f"cast(ceil(rest / {BLOCK_WORDS}) AS int) AS lefts", f"cast(ceil(words / {BLOCK_WORDS}) AS int) AS rights"), "giant-sizes")
+    rows = known.join(sizes, "key").join(sets.select("doc", "bag"), "doc")
+    left = rows.where("outside").selectExpr("key", "doc", "label", "bag", "true AS left", "cast(pmod(xxhash64(doc), lefts) AS int) AS i", "explode(sequence(0, rights - 1)) AS j")
+    right = rows.selectExpr("key", "doc", "label", "bag", "false AS left", "explode(sequence(0, lefts - 1)) AS i", "cast(pmod(xxhash64(doc, 7), rights) AS int) AS j")
+    both = left.unionByName(right).withColumn("own", F.lit(False))
+    out = written(stars.unionByName(both.groupBy("key", "i", "j").applyInArrow(_joined(similarity), "a long, b long")), "giant-links")
+    dropped(spark, mine, stars, first, known, sizes)
     return out
 
 
@@ -229,54 +272,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
     signed = written(texts.mapInArrow(_signed, "doc long, k1 long, k2 long, sign binary"), "signatures")
-    first = signed.groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
+    first = written(signed.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "firsts")
     copies = written(signed.select("doc", "k1", "k2").join(first, ["k1", "k2"]).select("doc", "rep").distinct(), "copies")
-    reps = copies.where("doc = rep").select("doc").distinct()
-    signs = written(signed.where("sign IS NOT NULL").join(reps, "doc", "left_semi").groupBy("doc").agg(F.min("sign").alias("sign")), "signs")
+    signs = signed.where("sign IS NOT NULL").join(first.withColumnRenamed("rep", "doc"), ["k1", "k2", "doc"]).select("doc", "sign")
     bands = written(signs.mapInArrow(_banded, "key long, doc long"), "bands")
-    counts = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1")
+    dropped(spark, signed, first)
+    counts = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1").drop("n"), "band-counts")
     held = written(bands.join(counts, "key"), "buckets")
-    dropped(spark, signed, bands)
-    small = held.where(f"n <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
-    small = small.selectExpr("posexplode(docs) AS (at, a)", "docs").selectExpr("a", "explode(slice(docs, at + 2, greatest(size(docs) - at - 1, 0))) AS b")
-    stars = held.where(f"n > {SMALL} AND doc <> pivot").selectExpr("pivot AS a", "doc AS b")
-    pairs = small.unionByName(stars).distinct()
-    signs_of = lambda c: signs.selectExpr(f"doc AS {c}", f"sign AS sign_{c}")
-    likely = pairs.join(signs_of("a"), "a").join(signs_of("b"), "b").select("a", "b", "sign_a", "sign_b")
-    likely = written(likely.mapInArrow(_likely, "a long, b long"), "likely")
-    similar = _exact(likely, texts, similarity)
+    dropped(spark, bands, counts)
+    near = written(labelled(held.where("doc <> pivot").selectExpr("pivot AS a", "doc AS b")).withColumnRenamed("label", "component"), "components")
+    # The hint keeps the plan the same at every size.
+    sets = written(texts.join(near.hint("merge"), "doc").mapInArrow(_bag_sets, "doc long, component long, n long, bag binary"), "bags")
+    blocks = written(sets.groupBy("component").agg(F.expr(f"ceil(sum(n) / {BLOCK_WORDS})").alias("blocks")), "blocks")
+    sets = sets.join(blocks, "component")
+    links = written(_within(sets.where(f"blocks <= {GIANT}"), similarity), "links")
+    giant = sets.where(f"blocks > {GIANT}")
+    if not giant.isEmpty():
+        links = links.unionByName(_by_buckets(held, giant, similarity))
     same = copies.where("doc <> rep").selectExpr("doc AS a", "rep AS b")
-    labels = labelled(similar.unionByName(same))
-    hot = held.where(f"n > {SMALL}")
-    if not hot.isEmpty():
-        more = _residual(hot, signs, labels)
-        if not more.isEmpty():
-            labels = labelled(similar.unionByName(same).unionByName(_exact(more, texts, similarity)))
+    labels = labelled(links.unionByName(same))
+    dropped(spark, held, near)
     ids = copies.groupBy("doc").agg(F.min("rep").alias("rep"))
     found = ids.join(labels, "doc", "left")
     return found.select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.col("rep").alias("copy_of"))
 
 
-def _residual(hot: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) across the classes that large buckets still hold."""
-    known = hot.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")).select("key", "doc", "n", "pivot", "label")
-    main = known.where("doc = pivot").selectExpr("key", "label AS main")
-    known = known.join(main, "key").withColumn("left", F.expr("label <> main"))
-    sizes = known.groupBy("key").agg(F.count(F.when(F.col("left"), 1)).alias("rest")).where("rest > 0")
-    rows = known.join(sizes, "key").join(signs, "doc")
-    lefts, rights = f"cast(ceil(rest / {LEFT_BLOCK}) AS int)", f"cast(ceil(n / {RIGHT_BLOCK}) AS int)"
-    out = [F.expr(x) for x in ("key", "doc", "label", "sign")]
-    left = rows.where("left").select(*out, F.lit(True).alias("left"), F.expr(f"pmod(xxhash64(doc), {lefts}) AS i"), F.explode(F.expr(f"sequence(0, {rights} - 1)")).alias("j"))
-    right = rows.select(*out, F.lit(False).alias("left"), F.expr(f"pmod(xxhash64(doc, 7), {rights}) AS j"), F.explode(F.expr(f"sequence(0, {lefts} - 1)")).alias("i"))
-    columns = ["key", "i", "j", "doc", "label", "sign", "left"]
-    blocks = left.selectExpr("key", "cast(i AS int) i", "cast(j AS int) j", *columns[3:]).unionByName(right.selectExpr("key", "cast(i AS int) i", "cast(j AS int) j", *columns[3:]))
-    return written(blocks.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "across")
-
-
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, with their own columns; rows of null doc_id stay.
 
     Which rows go is few and written, so a join decides that Spark can split.
     """
     gone = written(classes(docs.select("doc_id", "text"), similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
