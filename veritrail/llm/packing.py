@@ -1,11 +1,12 @@
 """Packing of tokenized documents into sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenized where they are read; no row moves. Each task fills blocks of
-a bounded number of windows: the pieces of a block are partitioned into k windows by
-differencing (partial partitions with opposing imbalances merge until one is left),
-and k rises until no window exceeds the capacity. A block holds at most BLOCK_WINDOWS
-windows of tokens, so memory doesn't grow with the input, and at most one window a
-block is lost to rounding up.
+at most BLOCK_WINDOWS windows of tokens, so memory doesn't grow with the input: the
+pieces of a block are partitioned into k windows by differencing (partial partitions
+with opposing imbalances merge until one is left), where k rises with every capacity
+that the block's tokens exceed. Sums are then equal within a few hundredths; what
+stands over the capacity of a window is cut off and fills the room of others. All
+blocks of a task but its last are full, so at most one window a task is padded.
 
 Defined results: a null or empty text is one token (the end mark); repeated rows are
 packed each for itself; an empty table gives no pieces; other columns are not read.
@@ -28,18 +29,27 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import slices
 
 CAPACITY = 4096
-BLOCK_WINDOWS = 128
-PIECE = 512
-#: A block is closed a little before its windows are full, so that their count seldom has to rise.
-FILL = 0.998
+BLOCK_WINDOWS = 64
+PIECE = 1024
 END_ID = 2
-CACHE_WORDS = 600_000
+#: Distinct words and parts of words that a worker holds at most, about 250 bytes each.
+CACHE_WORDS, CACHE_PARTS = 250_000, 500_000
 #: Letters that normalization leaves as they are but for their case, then a stop or nothing.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(part.split()[0], pa.int64()) for part in SCHEMA.split(", ")])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -52,7 +62,7 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so a text's ids are those
     of its words between spaces and line ends. It also parts letters from other characters
     and lowers them first, so a word of plain letters and a stop is the ids of both. Each
-    distinct part is encoded once while it is held; a worker holds at most CACHE_WORDS.
+    distinct part is encoded once while it is held; words are forgotten after each task.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -62,6 +72,19 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
+        # Lower-case letters need no normalization, so the model can be asked at once, if it is byte-level as expected.
+        known = ("the", "straße", "élève", "x")
+        self.direct = [self._model_ids(w) for w in known] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in known]
+
+    def _model_ids(self, letters: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
+    def _encode_letters(self, new: list[str]) -> None:
+        if not self.direct:
+            return self._encode_all(self.parts, new)
+        tokenize = self.tokenizer.model.tokenize
+        for letters in new:
+            self.parts[letters] = array("I", [t.id for t in tokenize(letters.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
 
     def _encode_all(self, known: dict[str, bytes], new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
@@ -72,12 +95,13 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end mark last."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        for known in (self.words, self.parts):
-            if len(known) > CACHE_WORDS:
+        for known, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
+            if len(known) > most:
                 known.clear()
         new = set().union(*split).difference(self.words)
         plain = {m[0]: (m[1].lower(), m[2]) for m in map(PLAIN.fullmatch, new) if m}
-        self._encode_all(self.parts, list({p for pair in plain.values() for p in pair}.difference(self.parts)))
+        self._encode_letters(list({a for a, _ in plain.values()}.difference(self.parts)))
+        self._encode_all(self.parts, [x for x in ("", ".", ",") if x not in self.parts])
         self._encode_all(self.words, list(new.difference(plain)))
         parts = self.parts
         self.words.update((word, parts[a] + parts[b]) for word, (a, b) in plain.items())
@@ -122,14 +146,29 @@ def differenced(sizes: list[int], k: int) -> np.ndarray:
     return np.array([where[i][0] for i in range(len(sizes))], np.int64)
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each size, none with a sum over capacity; every size is at most capacity."""
+def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, begin, length): parts of the sizes, each size whole or cut, none over capacity."""
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        found = differenced(sizes, k)
-        if np.bincount(found, weights=sizes).max() <= capacity:
-            return np.unique(found, return_inverse=True)[1]
-        k += 1
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
+    room, over = [capacity] * k, []
+    for i, w in enumerate(differenced(sizes, k).tolist()):
+        kept = min(sizes[i], room[w])
+        room[w] -= kept
+        if kept:
+            out[w].append((i, 0, kept))
+        if kept < sizes[i]:
+            over.append((i, kept, sizes[i] - kept))
+    w = 0
+    while over:
+        i, begin, length = over.pop()
+        while not room[w]:
+            w += 1
+        kept = min(length, room[w])
+        room[w] -= kept
+        out[w].append((i, begin, kept))
+        if kept < length:
+            over.append((i, begin + kept, length - kept))
+    return out
 
 
 def pieces(tokens: int, piece: int) -> Iterator[tuple[int, int]]:
@@ -148,27 +187,32 @@ def _packer(path: str, capacity: int, piece: int, block: int):
 
         def emptied() -> pa.RecordBatch:
             nonlocal held, total, next_id
-            rows = np.array(held, np.int64)
-            found = windows(rows[:, 2].tolist(), capacity)
-            order = np.argsort(found, kind="stable")
-            rows, found = rows[order], found[order]
-            before = np.cumsum(rows[:, 2]) - rows[:, 2]
-            first = np.searchsorted(found, found, "left")
-            columns = [*rows.T, found + next_id, before - before[first]]
-            next_id += int(found[-1]) + 1
+            rows = []
+            for window in windows([h[2] for h in held], capacity):
+                offset = 0
+                for i, begin, length in window:
+                    doc, start, _, ids = held[i]
+                    start += begin
+                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, next_id, offset))
+                    offset += length
+                next_id += 1
             held, total = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=ARROW)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=ARROW)
 
         for batch in slices(batches):
             for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
-                n = len(ids) // 4
-                for start, length in pieces(n, piece):
-                    if held and total + length > FILL * block * capacity:
+                for start, length in pieces(len(ids) // 4, piece):
+                    while total + length >= block * capacity:
+                        part = block * capacity - total
+                        held.append((doc, start, part, ids))
                         yield emptied()
-                    held.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                    total += length
+                        start, length = start + part, length - part
+                    if length:
+                        held.append((doc, start, length, ids))
+                        total += length
         if held:
             yield emptied()
+        encoder(path).words.clear()
 
     return pack
 
