@@ -7,6 +7,7 @@ numpy at once; batches are cut to a few MB of text so that memory stays bounded.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_KEYS = _RNG.integers(1, 2**63, size=4096, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,19 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, release: bool = True) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends here.
 
     A lost executor then costs the tasks that read the table, not those that made it.
-    Shuffle files of what has been written are let go.
+    Shuffle files of what has been written are let go, unless release is false.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.written_path = path
     return out
@@ -87,16 +89,25 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of about limit bytes of text; a longer text comes alone."""
+    """Batches of about limit bytes of text; a longer text comes alone. At the end, free memory goes back to the system."""
     for batch in batches:
-        col = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
-        ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    returned()
+
+
+def returned() -> None:
+    """Give free memory back: workers outlive their tasks, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +125,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> t
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty span: multilinear over bytes, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each non-empty span: multilinear over bytes, then mixed. Long inputs are taken in parts."""
     lengths = ends - starts
+    total = np.cumsum(lengths)
+    cuts = np.searchsorted(total, np.arange(SLICE_BYTES, total[-1] if len(total) else 0, SLICE_BYTES), "right")
+    parts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
+    found = [_hashed_part(data, starts[a:b], lengths[a:b]) for a, b in zip(parts, parts[1:], strict=False)]
+    return np.concatenate([np.zeros(0, np.uint64), *found])
+
+
+def _hashed_part(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(lengths) - lengths
     rel = np.arange(lengths.sum()) - np.repeat(at, lengths)
     value = data[rel + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
