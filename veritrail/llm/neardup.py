@@ -106,8 +106,9 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n:
         y = low[active] + (_chance(s + np.uint64(2)) * width[active]).astype(np.int64)
         counts = y < limit[active]
         np.minimum.at(best, cell[counts], time[active][counts].astype(np.float32))
-        latest = best.reshape(n, size).max(1)
-        active = active[time[active] <= latest[row[active]]]
+        rows, where = np.unique(row[active], return_inverse=True)
+        latest = best.reshape(n, size)[rows].max(1)
+        active = active[time[active] <= latest[where]]
     found = (mix(best.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(n, size)
     found[~part] = 0
     return found
@@ -215,17 +216,18 @@ def labelled(links: DataFrame) -> DataFrame:
     links has a and b. Rounds of stars: every number's neighbours are linked to its least
     one, first those above it, then those below, until nothing changes.
     """
-    edges, before = links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), None
-    edges = written(edges, "links")
+    spark = links.sparkSession
+    edges, before = written(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links"), None
     while True:
+        # Least neighbours are written, so that the joins with them deal out both sides by themselves and split a hub.
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", release=False)
+        large = written(both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct(), "links", release=False)
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", release=False)
         small = large.join(lower, "a").selectExpr("inline(array(struct(a AS a, m AS b), struct(b AS a, m AS b)))").where("a <> b").distinct()
-        after = written(small, "links")
+        after = written(small, "links", release=False)
         state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        dropped(edges.sparkSession, edges)
+        dropped(spark, edges, least, large, lower)
         edges = after
         if state == before:
             break
