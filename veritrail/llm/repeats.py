@@ -178,8 +178,11 @@ def _cut(window: int, with_text: bool):
 
 
 def _repeated(df: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of df whose key stands at least twice; partial counts first, and a join that Spark can split."""
-    counts = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """The rows of df whose key stands at least twice.
+
+    Counts are partial first; they are written, so that the join deals out both of its sides by itself and splits a hot key.
+    """
+    counts = written(df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-keys")
     return df.join(counts, key)
 
 
@@ -201,6 +204,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     kinds = written(held.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo")).alias("holder")), "stretch-kinds")
     # Names of which a stretch stands once and others beside it: their windows are compared singly.
     mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("name")
+    mixed = written(mixed, "mixed-names")
     holders = kinds.join(mixed, "name").select("name", "stretch", "holder.doc", "holder.lo")
     single = held.join(holders, ["name", "stretch", "doc", "lo"]).select("name", "stretch", F.posexplode("windows").alias("i", "window"))
     single = written(single, "single-windows")
@@ -208,6 +212,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     masks = kinds.join(again, ["name", "stretch"], "left").selectExpr("name", "stretch", "CASE WHEN n > 1 THEN -1L ELSE mask END AS mask").where("mask IS NOT NULL")
     rows = held.selectExpr("name", "stretch", "doc", "lo", "size(windows) AS k").join(masks, ["name", "stretch"])
     starts = written(rows.groupBy("doc").agg(F.collect_list(F.struct("lo", "k", "mask")).alias("repeated")), "repeats")
-    dropped(spark, held, kinds, single)
+    dropped(spark, held, kinds, mixed, single)
     out = docs.join(starts, "doc", "left").mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
