@@ -5,7 +5,8 @@ Each line of at least MIN_WORDS words that isn't in over COMMON of all documents
 rare; a document meets, for each of its rare lines, the first document that holds it.
 The two are aligned by patience diff: lines that stand once in both, put into a longest
 increasing sequence, then the gaps between them, and what is equal at the ends of each.
-Runs of aligned lines with a rare line among them are deleted from the later document.
+Runs of aligned lines with a line of MIN_WORDS words among them are deleted from the
+later document.
 
 Since a document meets only the first holder of a line, pairs grow with lines and not
 with the square of a group, and no frequent line is left out for its group's size.
@@ -27,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veritrail.llm.common import dropped, grams, hashes, mix, slices, spans, text_bytes, written
+from veritrail.llm.common import dropped, hashes, mix, slices, spans, text_bytes, written
 
 MIN_WORDS = 5
 #: A line in more than this share of all documents (and in over COMMON_LEAST) is boilerplate, not a sign of kinship.
@@ -109,7 +110,7 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(first: list[int], later: list[int], rare: list[bool]) -> set[int]:
-    """Indexes of later's lines in aligned blocks that hold a rare line; rare is of later's lines."""
+    """Indexes of later's lines in aligned blocks that hold a line for which rare is true."""
     gone, block = set(), []
     for pair in [*aligned(first, later), (-9, -9)]:
         if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
@@ -150,13 +151,14 @@ def deleted_lines(docs: DataFrame) -> DataFrame:
     rare = f"array_distinct(transform(filter(arrays_zip(lines, sizes), x -> x.sizes >= {MIN_WORDS}), x -> x.lines))"
     held = lined.selectExpr("doc", f"explode({rare}) AS line")
     first = held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    first = first.where(F.col("n") <= max(COMMON_LEAST, COMMON * n)).drop("n")
+    # Written, so that the join below deals out both of its sides by itself and splits a hot line.
+    first = written(first.where(F.col("n") <= max(COMMON_LEAST, COMMON * n)).drop("n"), "first-holders")
     pairs = written(held.join(first, "line").where("first < doc").select("doc", "first").distinct(), "line-pairs")
     met = pairs.join(lined.selectExpr("doc AS first", "lines AS first_lines"), "first").groupBy("doc").agg(F.collect_list("first_lines").alias("firsts"))
     out = lined.join(met, "doc").mapInArrow(_met, "doc long, gone array<int>")
     # Rows of one doc_id share what is deleted from either only if each alone is meant; the first list is taken.
     out = written(out.groupBy("doc").agg(F.min_by("gone", F.size("gone")).alias("gone")), "deleted")
-    dropped(spark, lined, pairs)
+    dropped(spark, lined, first, pairs)
     return out
 
 
@@ -178,10 +180,9 @@ def without_common_lines(docs: DataFrame) -> DataFrame:
     gone = deleted_lines(docs)
     columns = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("rest"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("doc", F.col("rest.doc_id").cast("long")).join(gone, "doc", "left").select("rest", "text", "gone")
+    # The hint keeps the plan the same at every size.
+    rows = rows.withColumn("doc", F.col("rest.doc_id").cast("long")).join(gone.hint("merge"), "doc", "left").select("rest", "text", "gone")
     rest = StructField("rest", rows.schema["rest"].dataType)
-    from pyspark.sql.types import LongType, StringType
-
     kinds = StructType([rest, StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return rows.mapInArrow(_shortened, kinds)
 
