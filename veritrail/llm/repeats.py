@@ -210,8 +210,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     single = written(single, "single-windows")
     again = _repeated(single, ["name", "window"]).groupBy("name", "stretch").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = kinds.join(again, ["name", "stretch"], "left").selectExpr("name", "stretch", "CASE WHEN n > 1 THEN -1L ELSE mask END AS mask").where("mask IS NOT NULL")
+    masks = written(masks, "masks")
     rows = held.selectExpr("name", "stretch", "doc", "lo", "size(windows) AS k").join(masks, ["name", "stretch"])
     starts = written(rows.groupBy("doc").agg(F.collect_list(F.struct("lo", "k", "mask")).alias("repeated")), "repeats")
-    dropped(spark, held, kinds, mixed, single)
+    dropped(spark, held, kinds, mixed, single, masks)
     out = docs.join(starts, "doc", "left").mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
