@@ -172,6 +172,37 @@ def test_lines(docs, none, spark):
     assert whole.count() == len(TEXTS)
 
 
+def all_holders(texts):
+    """Indexes of lines that alignments with all earlier documents delete."""
+    hold = [[tuple(y.split()) for y in x.split("\n")] for x in texts]
+    out = []
+    for i, mine in enumerate(hold):
+        rare = [len(y) >= lines.MIN_WORDS for y in mine]
+        out.append(set().union(*(lines.common_lines(x, mine, rare) for x in hold[:i])))
+    return out
+
+
+def removed(found, texts):
+    """Whether the lines that are left are those without the indexes given."""
+    want = all_holders(texts)
+    left = lambda i: "\n".join(y for j, y in enumerate(texts[i].split("\n")) if j not in want[i])
+    return [(i, found[i]["n_removed"], len(want[i])) for i in range(len(texts)) if (found[i]["n_removed"], found[i]["kept_sha256"]) != (len(want[i]), hashlib.sha256(left(i).encode()).hexdigest())]
+
+
+@pytest.mark.parametrize(("step", "growth"), [(4, 8), (1, 1)])
+def test_lines_meet_all_earlier_holders(spark, monkeypatch, step, growth):
+    """What the first holder of a line doesn't align, further ones do: lines in another order, repeated lines, short lines beside long ones."""
+    monkeypatch.setattr(lines, "STEP", step)
+    monkeypatch.setattr(lines, "GROWTH", growth)
+    rng = random.Random(23)
+    a, b, own = prose(rng, 6), prose(rng, 7), lambda: prose(rng, 8)
+    texts = [f"{a}\n{own()}\n{b}", f"{own()}\n{a}\n{own()}", f"{b}\n{own()}\n{a}", f"{own()}\n{b}\n{own()}", f"{b}\n{own()}\n{a}\n{own()}"]
+    pool = [prose(rng, 6) for _ in range(7)] + ["", "short", "two words"]
+    texts += ["\n".join(rng.choice([*pool, own()]) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert removed(by_id(lines.digest(rows)), texts) == []
+
+
 def test_shards(spark, docs, tmp_path):
     store = shards.Store(spark, f"file://{tmp_path}/store", target_bytes=40_000, fanout=2)
     assert store.version() == 0 and store.read() is None and store.manifest().count() == 0

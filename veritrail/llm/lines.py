@@ -2,14 +2,18 @@
 
 Documents are lists of line hashes (a line is its words, so white space doesn't count).
 Each line of at least MIN_WORDS words that isn't in over COMMON of all documents is
-rare; a document meets, for each of its rare lines, the first document that holds it.
-The two are aligned by patience diff: lines that stand once in both, put into a longest
-increasing sequence, then the gaps between them, and what is equal at the ends of each.
-Runs of aligned lines with a line of MIN_WORDS words among them are deleted from the
-later document.
+rare; a shorter line counts through its keys, the stretches from it to the nearest line of
+MIN_WORDS words on either side. A document is aligned with earlier holders of its keys by
+patience diff: lines that stand once in both, put into a longest increasing sequence, then
+the gaps between them, and what is equal at the ends of each. Runs of aligned lines with
+a line of MIN_WORDS words among them are deleted from the later document; what is deleted
+is what an alignment with any earlier holder deletes.
 
-Since a document meets only the first holder of a line, pairs grow with lines and not
-with the square of a group, and no frequent line is left out for its group's size.
+A document first meets the first holder of each key, which settles nearly all of them. For
+keys of lines that still stand, it meets further holders in growing rounds until the lines
+are deleted or no holder is left. Holders that read the same, but for lines of no other
+document, align the same with all: they are one profile, met once. So pairs grow with
+lines and with the distinct profiles of what stays open, not with the square of a group.
 
 Defined results: a null text has no lines and stays null; a text that is deleted whole
 becomes empty; lines are parted by \\n alone; lines that repeat within one document stay;
@@ -30,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veritrail.llm.common import dropped, hashes, mix, slices, spans, text_bytes, written
+from veritrail.llm.common import dropped, hashes, mix, ranges, row_of, slices, spans, text_bytes, written
 
 MIN_WORDS = 5
 #: A line in more than this share of all documents (and in over COMMON_LEAST) is boilerplate, not a sign of kinship.
 COMMON, COMMON_LEAST = 0.5, 1000
+#: Profiles of a key that the first further round meets, the growth of later rounds, and their largest step.
+STEP, GROWTH, MOST = 4, 8, 2048
+#: Stands for lines of no other document; hashes of lines are odd or 0.
+ALONE = 2
 
 
 def line_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,44 +129,117 @@ def common_lines(first: list[int], later: list[int], rare: list[bool]) -> set[in
     return gone
 
 
+def line_keys(lines: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines, the index of each key's line in its row, and rows' offsets among keys.
+
+    The key of a line of MIN_WORDS words is its hash; a shorter line has a key for the nearest such line on either
+    side, the hash of all from the one to the other: a block that deletes it must hold one of the two stretches.
+    """
+    at, row = np.arange(len(lines)), row_of(rows)
+    long = sizes >= MIN_WORDS
+    before = np.maximum.accumulate(np.where(long, at, -1))
+    after = np.minimum.accumulate(np.where(long, at, len(lines))[::-1])[::-1]
+    left = np.flatnonzero(~long & (before >= rows[row]))
+    right = np.flatnonzero(~long & (after < rows[row + 1]))
+    place = np.concatenate([at[long], left, right])
+    keys = np.concatenate([lines[long], ranges(lines, before[left], left + 1), ranges(lines, right, after[right] + 1)])
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    return keys[order], place - rows[row[place]], np.searchsorted(place, rows)
+
+
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         total, sizes, rows = line_hashes(batch["text"])
-        found = [pa.array(x) for x in (total.view(np.int64), sizes.astype(np.int32))]
-        offsets = pa.array(rows.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch["doc"], *(pa.ListArray.from_arrays(offsets, x) for x in found)], names=["doc", "lines", "sizes"])
+        keys, places, cuts = line_keys(total, sizes, rows)
+        offsets, cuts = pa.array(rows.astype(np.int32)), pa.array(cuts.astype(np.int32))
+        found = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (total.view(np.int64), sizes.astype(np.int32))]
+        found += [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys.view(np.int64), places.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch["doc"], *found], names=["doc", "lines", "sizes", "keys", "places"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deleted lines of each document, from the first holders it meets."""
+    """Deleted lines of each document, from the holders it meets and from before, and the keys of lines that still stand."""
     for batch in batches:
-        docs, gone = [], []
+        out = []
         for r in batch.to_pylist():
             rare = [n >= MIN_WORDS for n in r["sizes"]]
-            found = set().union(*(common_lines(x, r["lines"], rare) for x in r["firsts"]))
-            if found:
-                docs.append(r["doc"])
-                gone.append(sorted(found))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
+            gone = set(r["gone"] or ()).union(*(common_lines(x, r["lines"], rare) for x in r["firsts"] or ()))
+            still = {k for k, p in zip(r["keys"], r["places"], strict=True) if p not in gone}
+            out.append((r["doc"], r["row"], sorted(gone), sorted(still if r["open"] is None else still.intersection(r["open"]))))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["doc", "row", "gone", "open"])
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' lines, where runs of long lines that no other document holds are one ALONE."""
+    for batch in batches:
+        docs, out = [], []
+        for r in batch.to_pylist():
+            shared, profile = set(r["shared"]), []
+            for x, n in zip(r["lines"], r["sizes"], strict=True):
+                x = ALONE if n >= MIN_WORDS and x not in shared else x
+                if x != ALONE or profile[-1:] != [ALONE]:
+                    profile.append(x)
+            docs.append(r["doc"])
+            out.append(profile)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "profile"])
+
+
+MET = "doc long, row long, gone array<int>, open array<long>"
+
+
+def _further(lined: DataFrame, held: DataFrame, shared: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
+    """doc, row and gone of the documents in met whose lines still stand though an earlier document holds their keys."""
+    spark = lined.sparkSession
+    keys = met.select("doc", "row", F.explode("open").alias("key")).join(shared.select("doc", "key").distinct(), ["doc", "key"])
+    todo = written(keys.groupBy("doc", "row").agg(F.collect_set("key").alias("open")).join(met.select("doc", "row", "gone"), ["doc", "row"]).select("doc", "row", "gone", "open").dropDuplicates(["doc", "row"]), "open-lines")
+    wanted = written(todo.select(F.explode("open").alias("key")).distinct(), "open-keys")
+    holders = written(held.join(wanted, "key"), "open-holders")
+    # The first holder, too, is a holder that shares its lines.
+    of_doc = held.join(holders.select("doc").distinct(), "doc").join(first.select("key"), "key").groupBy("doc").agg(F.collect_list("key").alias("shared"))
+    profiles = lined.join(of_doc, "doc").select("doc", "lines", "sizes", "shared").mapInArrow(_profiled, "doc long, profile array<long>")
+    kinds = written(holders.join(profiles, "doc").groupBy("key", "profile").agg(F.min("doc").alias("least")), "profiles")
+    counts = written(kinds.groupBy("key").agg(F.count("*").alias("n")), "profile-counts")
+    # An order by hash: about as many profiles of a key lie below a number as it says, and no key is sorted in one task.
+    kinds = written(kinds.join(counts, "key").selectExpr("key", "profile", "least", "n * (pmod(xxhash64(profile), 1048576L) / 1048576D) AS place"), "placed-profiles")
+    last = counts.agg(F.max("n")).first()[0] or 0
+    base = written(lined.join(todo.select("doc", "row"), ["doc", "row"]).dropDuplicates(["doc", "row"]), "open-documents")
+    lo, step = 0, STEP
+    while lo < last:
+        near = kinds.where((F.col("place") >= lo) & (F.col("place") < lo + step))
+        pairs = todo.select("doc", "row", F.explode("open").alias("key")).join(near, "key").where("least < doc").select("doc", "row", "profile").distinct()
+        firsts = pairs.groupBy("doc", "row").agg(F.collect_list("profile").alias("firsts"))
+        before, todo = todo, written(base.join(todo, ["doc", "row"]).join(firsts, ["doc", "row"], "left").mapInArrow(_met, MET), "open-lines")
+        dropped(spark, before)
+        if todo.where("size(open) > 0").isEmpty():
+            break
+        lo, step = lo + step, min(step * GROWTH, MOST)
+    dropped(spark, wanted, holders, counts, kinds, base)
+    return todo
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
     """doc and gone: the indexes of its lines that aligned blocks with earlier documents hold."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    lined = written(rows.mapInArrow(_lined, "doc long, lines array<long>, sizes array<int>"), "lines")
+    lined = rows.mapInArrow(_lined, "doc long, lines array<long>, sizes array<int>, keys array<long>, places array<int>")
+    lined = written(lined.withColumn("row", F.xxhash64("lines")), "lines")
     n = lined.count()
-    rare = f"array_distinct(transform(filter(arrays_zip(lines, sizes), x -> x.sizes >= {MIN_WORDS}), x -> x.lines))"
-    held = lined.selectExpr("doc", f"explode({rare}) AS line")
-    first = held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    held = lined.selectExpr("doc", "explode(array_distinct(keys)) AS key")
+    first = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     # Written, so that the join below deals out both of its sides by itself and splits a hot line.
     first = written(first.where(F.col("n") <= max(COMMON_LEAST, COMMON * n)).drop("n"), "first-holders")
-    pairs = written(held.join(first, "line").where("first < doc").select("doc", "first").distinct(), "line-pairs")
+    shared = written(held.join(first, "key").where("first < doc").select("doc", "key", "first"), "shared-lines")
+    pairs = written(shared.select("doc", "first").distinct(), "line-pairs")
     met = pairs.join(lined.selectExpr("doc AS first", "lines AS first_lines"), "first").groupBy("doc").agg(F.collect_list("first_lines").alias("firsts"))
-    out = lined.join(met, "doc").mapInArrow(_met, "doc long, gone array<int>")
+    met = lined.join(met, "doc").selectExpr("*", "cast(NULL AS array<int>) AS gone", "cast(NULL AS array<long>) AS open")
+    met = written(met.mapInArrow(_met, MET), "met")
+    more = _further(lined, held, shared, first, met)
+    out = met.select("doc", "row", "gone").unionByName(more.select("doc", "row", "gone")).groupBy("doc", "row").agg(F.max_by("gone", F.size("gone")).alias("gone"))
     # Rows of one doc_id share what is deleted from either only if each alone is meant; the first list is taken.
-    out = written(out.groupBy("doc").agg(F.min_by("gone", F.size("gone")).alias("gone")), "deleted")
-    dropped(spark, lined, first, pairs)
+    out = written(out.where("size(gone) > 0").groupBy("doc").agg(F.min_by("gone", F.size("gone")).alias("gone")), "deleted")
+    dropped(spark, lined, first, shared, pairs, met, more)
     return out
 
 
