@@ -277,6 +277,20 @@ def test_licenses(spark):
     assert [r["license"] for r in found] == ["Apache-2.0-header"] and found[0]["coverage"] > 0.9
 
 
+def test_licenses_of_the_documents_table(spark, sf):
+    """The notices that stand as lines of documents are found in each document that holds them."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "all-rights-reserved-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    rows = [(i, f"before it\n{x}\nafter it") for i, x in enumerate(notices)]
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in got) == [(i, n, 1.0) for i, n in enumerate(notices.values())]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r["doc_id"], notices[y.strip()]) for r in docs.collect() for y in (r["text"] or "").split("\n") if y.strip() in notices}
+    assert want and want <= {(r["doc_id"], r["license"]) for r in licenses.scanned(docs).collect()}
+
+
 def test_quality(spark, docs, sf):
     from pyspark.sql import functions as F
 

@@ -51,6 +51,7 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC-BY-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain worldwide under CC0 1.0 Universal.",
+    "all-rights-reserved-line": "All rights reserved.",
     "all-rights-reserved": "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
 }
 #: Function words, which propose nothing while enough others do.
