@@ -54,3 +54,22 @@ def test_components_and_paths(spark):
     paths = shortest_paths(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1,)], "origin long"), 3).collect()
     found = {r["node"]: (r["distance"], tuple(r["path"])) for r in paths}
     assert found == {1: (0, (1,)), 2: (1, (1, 2)), 9: (1, (1, 9)), 3: (2, (1, 2, 3))}
+
+
+def test_components_of_all_lines(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for order, part in lines:
+        x, y = root(order * 2), root(part * 2 + 1)
+        parent[max(x, y)] = min(x, y)
+    got = core.QUERIES["l14_components_all"](spark, sf).collect()
+    assert len(got) == len(parent)
+    assert all(r["component"] == root(r["node"]) for r in got)
