@@ -117,10 +117,10 @@ def l11_entities(d: Spark) -> str:
     return f"WITH s AS (SELECT p_partkey, {words} AS w FROM part) SELECT p_partkey, {d.joined(d.sorted(f'CASE WHEN {d.size(kept)} = 0 THEN w ELSE {kept} END'), '|')} AS entities FROM s"
 
 
-def f8_fuzzy(d: Spark) -> str:
+def f8_fuzzy(d: Spark, asked: str = "lang = 'es'") -> str:
     """Entities linked to nodes: equal names first, then one within the other, then token overlap; nodes in order."""
     head = lambda n: d.joined(d.slice(t.words(d, "text"), "1", str(n)), " ")
-    return f"""WITH e AS (SELECT doc_id AS eid, {t.entity_name(d, head(3))} AS name FROM documents WHERE lang = 'es'), n AS (SELECT doc_id AS pos, {t.entity_name(d, head(4))} AS name FROM documents),
+    return f"""WITH e AS (SELECT doc_id AS eid, {t.entity_name(d, head(3))} AS name FROM documents WHERE {asked}), n AS (SELECT doc_id AS pos, {t.entity_name(d, head(4))} AS name FROM documents),
   et AS (SELECT eid, name, {d.distinct(d.filter(d.split("name", " "), "w", "w <> ''"))} AS w FROM e WHERE name <> ''), nt AS (SELECT pos, name, {d.distinct(d.filter(d.split("name", " "), "w", "w <> ''"))} AS w FROM n WHERE name <> ''),
   eu AS (SELECT eid, name, w, u FROM et, {d.rows("w", "u")}), nu AS (SELECT pos, name, w, u FROM nt, {d.rows("w", "u")}),
   met AS (SELECT eid, eu.name AS a, pos, nu.name AS b, count(*) AS shared, max({d.size("eu.w")}) AS na, max({d.size("nu.w")}) AS nb FROM eu JOIN nu ON eu.u = nu.u GROUP BY eid, eu.name, pos, nu.name),
