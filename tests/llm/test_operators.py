@@ -203,6 +203,16 @@ def test_lines_meet_all_earlier_holders(spark, monkeypatch, step, growth):
     assert removed(by_id(lines.digest(rows)), texts) == []
 
 
+def test_a_line_of_most_documents_goes(spark):
+    """A line in 1,100 of 1,200 documents is deleted from all but the first, as one in 90 of 100 is."""
+    rng = random.Random(29)
+    line = "this one line stands in nearly all documents"
+    for n in (100, 1200):
+        texts = [f"{prose(rng, 6)}\n{line}\n{prose(rng, 6)}" if i < n - n // 12 else prose(rng, 12) for i in range(n)]
+        got = by_id(lines.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+        assert [got[i]["n_removed"] for i in range(n)] == [int(0 < i < n - n // 12) for i in range(n)]
+
+
 def test_shards(spark, docs, tmp_path):
     store = shards.Store(spark, f"file://{tmp_path}/store", target_bytes=40_000, fanout=2)
     assert store.version() == 0 and store.read() is None and store.manifest().count() == 0

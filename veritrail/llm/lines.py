@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
 Documents are lists of line hashes (a line is its words, so white space doesn't count).
-Each line of at least MIN_WORDS words that isn't in over COMMON of all documents is
-rare; a shorter line counts through its keys, the stretches from it to the nearest line of
+Each line of at least MIN_WORDS words counts as rare, however many documents hold it; a
+shorter line counts through its keys, the stretches from it to the nearest line of
 MIN_WORDS words on either side. A document is aligned with earlier holders of its keys by
 patience diff: lines that stand once in both, put into a longest increasing sequence, then
 the gaps between them, and what is equal at the ends of each. Runs of aligned lines with
@@ -37,8 +37,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from veritrail.llm.common import dropped, hashes, mix, ranges, row_of, slices, spans, text_bytes, written
 
 MIN_WORDS = 5
-#: A line in more than this share of all documents (and in over COMMON_LEAST) is boilerplate, not a sign of kinship.
-COMMON, COMMON_LEAST = 0.5, 1000
 #: Profiles of a key that the first further round meets, the growth of later rounds, and their largest step.
 STEP, GROWTH, MOST = 4, 8, 2048
 #: Stands for lines of no other document; hashes of lines are odd or 0.
@@ -225,11 +223,10 @@ def deleted_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     lined = rows.mapInArrow(_lined, "doc long, lines array<long>, sizes array<int>, keys array<long>, places array<int>")
     lined = written(lined.withColumn("row", F.xxhash64("lines")), "lines")
-    n = lined.count()
     held = lined.selectExpr("doc", "explode(array_distinct(keys)) AS key")
-    first = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that the join below deals out both of its sides by itself and splits a hot line.
-    first = written(first.where(F.col("n") <= max(COMMON_LEAST, COMMON * n)).drop("n"), "first-holders")
+    first = written(first, "first-holders")
     shared = written(held.join(first, "key").where("first < doc").select("doc", "key", "first"), "shared-lines")
     pairs = written(shared.select("doc", "first").distinct(), "line-pairs")
     met = pairs.join(lined.selectExpr("doc AS first", "lines AS first_lines"), "first").groupBy("doc").agg(F.collect_list("first_lines").alias("firsts"))
