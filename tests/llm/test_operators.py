@@ -339,6 +339,22 @@ def test_repeats(docs, none, window):
         repeats.without_repeats(docs, 10)
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    """Rows that share a doc_id, or have none, lose their own repeated words alone."""
+    rng = random.Random(31)
+    passage, other = prose(rng, 60), prose(rng, 50)
+    rows = [(None, f"{prose(rng, 300)} {passage} {prose(rng, 20)}"), (None, passage), (None, prose(rng, 400)), (None, None), (-1, prose(rng, 90)), (7, f"{other} {prose(rng, 200)}"), (7, prose(rng, 350)), (7, f"{prose(rng, 3)} {other}"), (8, prose(rng, 80)), (9, prose(rng, 45)), (9, "short")]
+    rows += [rows[8], rows[9]]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for _, x in rows]
+    count = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    want = []
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = {j + k for j in range(len(w) - 34) if count[tuple(w[j : j + 35])] > 1 for k in range(35)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=True)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",

@@ -20,9 +20,9 @@ Stretches and windows are told apart by 64 bits besides the 64 of the name.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose
 nothing; a window that stands twice in one text counts as repeated, overlaps included;
-repeated doc_ids are rows of their own only as far as they can be told apart: a doc_id
-that stands twice is treated as two documents by row; columns besides doc_id and text
-are not read.
+rows of a null or repeated doc_id are documents of their own: anchors and stretches belong
+to a hash of 64 bits of doc_id and text, and equal texts lose the same words; columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -196,7 +196,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         raise ValueError(f"window must be at least {2 * REACH + LONGEST} words")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-1)))
+    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
     found = written(_repeated(docs.mapInArrow(_anchored(window), "name long, doc long, at int"), ["name"]).select("doc", "at"), "anchors")
     per_doc = found.groupBy("doc").agg(F.collect_list("at").alias("anchors"))
     held = written(docs.join(per_doc, "doc").mapInArrow(_stretches(window), "name long, stretch long, doc long, lo int, windows array<long>"), "stretches")
