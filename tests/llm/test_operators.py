@@ -106,14 +106,56 @@ def test_neardup(docs, none):
     assert neardup.classes(none).count() == 0
 
 
-@pytest.mark.parametrize(("words", "giant"), [(300, 1000), (300, 1)])
-def test_neardup_in_blocks(docs, monkeypatch, words, giant):
-    """Components in many blocks, and giant ones by buckets, give the same."""
+@pytest.mark.parametrize("words", [300, 40])
+def test_neardup_in_blocks(docs, monkeypatch, words):
+    """Outsiders and classes in many blocks give the same."""
     monkeypatch.setattr(neardup, "BLOCK_WORDS", words)
-    monkeypatch.setattr(neardup, "GIANT", giant)
     assert {i: r["class_id"] for i, r in by_id(neardup.classes(docs)).items()} == exact_classes()
 
 
+def test_outsiders_are_compared(spark):
+    """Chains and clusters whose pivot is similar to none of them: classes are those of all pairs."""
+    rng = random.Random(41)
+    base = prose(rng, 200).split()
+    texts = []
+    for k in range(60):
+        edited = list(base)
+        for j in range(k // 2):
+            edited[(j * 7) % 200] = f"other{j}"
+        texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    bags = [Counter(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    parent = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            shared = sum((bags[a] & bags[b]).values())
+            if shared >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - shared):
+                x, y = neardup._root(dict(enumerate(parent)), a), neardup._root(dict(enumerate(parent)), b)
+                parent[max(x, y)] = min(x, y)
+    want = {i: neardup._root(dict(enumerate(parent)), i) for i in range(60)}
+    got = {i: r["class_id"] for i, r in by_id(neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).items()}
+    assert got == want
+
+
+def test_labels(spark):
+    """Paths, stars with the largest number inside, and numbers without links."""
+    rng = random.Random(43)
+    links = [(i, i + 1) for i in range(0, 200)] + [(900, i) for i in range(300, 340)] + [(i + 1000, i // 2 + 1000) for i in range(1, 100)] + [(5, 5)]
+    links = [rng.choice(((a, b), (b, a))) for a, b in links]
+    want = {i: 0 for i in range(1, 201)} | {i: 300 for i in [*range(301, 340), 900]} | {i: 1000 for i in range(1001, 1100)}
+    got = neardup.labelled(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r["doc"]: r["label"] for r in got} == want and len(got) == len(want)
+
+
+def test_small_bags_match_equal_ones_alone():
+    texts = ["a b c", "a b c", "a b d", "a b c a b c a", "b c a b c a b", "a b c a b c d", "a b c d e f g h"]
+    owner, shingles, weights, _ = neardup.bags(pa.array(texts))
+    found = neardup.signed(owner, shingles, weights, len(texts), neardup.smallest(0.8))
+    assert neardup.smallest(0.8) == 4 and neardup.smallest(0.5) == 1
+    same = lambda a, b: bool((found[a] == found[b]).all())
+    assert same(0, 1) and same(3, 4) and not same(0, 2) and not same(3, 5) and found.any(1).all()
+
+
 def test_signatures_are_unbiased():
     a, b = Counter({i: 1 + i % 3 for i in range(60)}), Counter({i: 1 + i % 2 for i in range(20, 80)})
     table = []

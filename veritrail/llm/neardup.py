@@ -6,17 +6,20 @@ a process's points carry a time, a component of the signature and a weight, and
 if that weight lies below w. Component i of the signature is the earliest point that
 fell on it, so two texts agree on a component with the chance of their weighted Jaccard
 similarity, whatever the weights. Points are made in rounds over a whole batch, and a
-process ends once its time is past the latest component of its text.
+process ends once its time is past the latest component of its text. A bag so small that
+only an equal bag is similar (fewer than four shingles) needs no processes: its
+components are hashes of the whole bag.
 
 Texts of the same words are one text from the start (class of copies). Texts that share
-a bucket of equal bands are candidates; buckets that share a text make components, and
-every text's bag is sent to its component once. There, an inverted index of shingles
-gives the exact overlap of each text with all others, and links are joined as they are
-found, so no more come out than there are texts. A component of more than BLOCK_WORDS is
-split into blocks, each pair of which is one group. One of over GIANT blocks is not
-compared throughout: its texts are verified against the first text of each of their
-buckets, and only those in another class than their bucket's first text are compared, with
-all texts of that bucket. Links make classes through rounds of min-label stars.
+a bucket of equal bands are candidates. Each is first verified against the least text of
+each of its buckets (the pivot), which joins nearly all of a group of copies with one
+pair a text. Those that are then in another class than a pivot of theirs are outsiders
+of that pivot's class: buckets are taken together by the class of their pivots, and there
+an inverted index of shingles gives the exact overlap of each outsider with all texts.
+So every two texts that share a bucket end in one class or are compared, and the path is
+the same at every size: outsiders and texts of a class are dealt out in blocks of
+BLOCK_WORDS shingles, each pair of blocks as one group. Links make classes in rounds:
+tasks join what they hold, then numbers point on to what their label points to.
 
 A pair of similarity 0.8 escapes all bands with a chance of (1 - 0.8 ** 5) ** 25, 5e-5.
 
@@ -42,10 +45,8 @@ SIMILARITY = 0.8
 SIZE = 128
 BAND = 5
 BANDS = SIZE // BAND
-#: Shingles of the texts that one group compares with each other.
+#: Shingles of the texts on either side that one group compares with each other.
 BLOCK_WORDS = 400_000
-#: Blocks of a component from which on it is compared by buckets.
-GIANT = 16
 
 
 def bags(col: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +79,26 @@ def _chance(seeds: np.ndarray) -> np.ndarray:
     return ((mix(seeds) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def smallest(similarity: float) -> int:
+    """The least size of a bag to which a bag of another size can be similar."""
+    n = 1
+    while n < similarity * (n + 1):
+        n += 1
+    return n
+
+
+def signed(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, least: int) -> np.ndarray:
+    """signatures(), but for bags of fewer than least shingles, which hash as a whole."""
+    sizes = np.bincount(owner, weights, n)
+    small = sizes[owner] < least
+    found = signatures(owner[~small], shingles[~small], weights[~small], n)
+    whole = np.zeros(n, np.uint64)
+    np.add.at(whole, owner[small], mix(shingles[small] + mix(weights[small].astype(np.uint64))))
+    rows = np.unique(owner[small])
+    found[rows] = (mix(whole[rows, None] + np.arange(1, SIZE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return found
+
+
 def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
     """An n x size table of 32-bit components; rows without elements are zeros."""
     levels = np.zeros(len(weights), np.int64)
@@ -114,14 +135,17 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n:
     return found
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        owner, shingles, weights, whole = bags(batch["text"])
-        found = signatures(owner, shingles, weights, batch.num_rows)
-        any_words = np.zeros(batch.num_rows, bool)
-        any_words[owner] = True
-        signs = [x.tobytes() if some else None for x, some in zip(found, any_words, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array(signs, pa.binary())], names=["doc", "k1", "k2", "sign"])
+def _signed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owner, shingles, weights, whole = bags(batch["text"])
+            found = signed(owner, shingles, weights, batch.num_rows, least)
+            sizes = np.bincount(owner, weights, batch.num_rows).astype(np.int64)
+            signs = [x.tobytes() if some else None for x, some in zip(found, sizes > 0, strict=True)]
+            columns = [pa.array(whole[:, j].view(np.int64)) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc"], *columns, pa.array(sizes), pa.array(signs, pa.binary())], names=["doc", "k1", "k2", "n", "sign"])
+
+    return run
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +159,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(b * BAND, (b + 1) * BAND):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, j])
             keys[:, b] = key
-        doc = np.repeat(batch["doc"].to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(doc)], names=["key", "doc"])
+        rest = [pa.array(np.repeat(batch[c].to_numpy(), BANDS)) for c in ("doc", "n")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *rest], names=["key", "doc", "n"])
 
 
 def _bag_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +174,7 @@ def _bag_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = names[np.lexsort((names, row))]
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
         sets = [names[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch["doc"], batch["component"], pa.array(np.diff(cuts)), pa.array(sets, pa.binary())], names=["doc", "component", "n", "bag"])
+        yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(sets, pa.binary())], names=["doc", "bag"])
 
 
 def _verified(similarity: float):
@@ -169,134 +193,124 @@ def _verified(similarity: float):
     return run
 
 
-def _joined(similarity: float):
-    """Links between the texts of a group, no more than join their classes: of all its texts, or of left ones with the others."""
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
+
+
+def _compared(similarity: float):
+    """Links between classes: each left text of a group with all of its right ones, no more than join their classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc")
         doc, label = table["doc"].to_numpy(), table["label"].to_numpy()
         left = np.array(table["left"].to_pylist(), bool)
-        own = bool(table["own"][0].as_py())  # every text is on both sides
         bags = [np.frombuffer(x.as_buffer(), "<u8") for x in table["bag"]]
         sizes = np.array([len(x) for x in bags])
-        right = np.arange(len(doc)) if own else np.flatnonzero(~left)
+        right = np.flatnonzero(~left)
         postings = np.concatenate([np.zeros(0, np.uint64), *[bags[i] for i in right]])
         holder = np.repeat(right, sizes[right])
         order = np.argsort(postings, kind="stable")
         postings, holder = postings[order], holder[order]
         parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
         links = []
-        for i in range(len(doc)) if own else np.flatnonzero(left).tolist():
+        todo = np.flatnonzero(left)
+        for i in todo[np.argsort(doc[todo], kind="stable")].tolist():
             lo, hi = (np.searchsorted(postings, bags[i], side) for side in ("left", "right"))
             many = hi - lo
             at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
             shared = np.bincount(holder[at], minlength=len(doc))
             near = np.flatnonzero((shared > 0) & (shared >= similarity * (sizes + sizes[i] - shared)))
-            for k in near.tolist():
-                a, b = root(int(label[i])), root(int(label[k]))
+            for k in np.unique(label[near]).tolist():
+                a, b = _root(parent, int(label[i])), _root(parent, k)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    links.append((doc[i], doc[k]))
-        columns = [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)]
-        return pa.table(columns, names=["a", "b"])
+                    links.append((int(label[i]), k))
+        return pa.table([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as (a, b): each number but the least of what hangs together there, and that least one.
+
+    foreign: a was the smaller number of all its links here, so that another task may know it too.
+    """
+    parent: dict[int, int] = {}
+    own: set[int] = set()
+    for batch in batches:
+        own.update(batch["a"].to_pylist())
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            a, b = _root(parent, a), _root(parent, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    found = [(a, _root(parent, a), a not in own) for a in sorted(parent)]
+    kinds = (pa.int64(), pa.int64(), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], kind) for j, kind in enumerate(kinds)], names=["a", "b", "foreign"])
+
+
 def labelled(links: DataFrame) -> DataFrame:
-    """Classes of linked numbers: (doc, label) for each that has a link; label is the least of its class.
+    """(doc, label) of linked numbers, without those that are the least of their class, which is the label.
 
-    links has a and b. Rounds of stars: every number's neighbours are linked to its least
-    one, first those above it, then those below, until nothing changes.
+    links has a and b. In each round, tasks join the links that they hold, by the larger number, so that a
+    number points to one smaller number; then each points on to what that one points to. What many numbers
+    point to is looked up by a join, whose hot keys Spark splits. It ends when no number is known to two
+    tasks and none points on.
     """
     spark = links.sparkSession
-    edges, before = written(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links"), None
+    edges, before = links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b"), []
     while True:
-        # Least neighbours are written, so that the joins with them deal out both sides by themselves and split a hub.
-        both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", release=False)
-        large = written(both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct(), "links", release=False)
-        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", release=False)
-        small = large.join(lower, "a").selectExpr("inline(array(struct(a AS a, m AS b), struct(b AS a, m AS b)))").where("a <> b").distinct()
-        after = written(small, "links", release=False)
-        state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        dropped(spark, edges, least, large, lower)
-        edges = after
-        if state == before:
-            break
-        before = state
-    return edges.selectExpr("a AS doc", "b AS label").unionByName(edges.selectExpr("b AS doc", "b AS label").distinct())
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, verified on whole bags."""
-    rows = pairs.join(sets.selectExpr("doc AS a", "bag AS bag_a"), "a").join(sets.selectExpr("doc AS b", "bag AS bag_b"), "b")
-    return written(rows.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(similarity), "a long, b long"), "similar")
-
-
-def _within(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links within components, by pairs of blocks; sets has blocks, the number of blocks of a text's component."""
-    rows = sets.selectExpr("component", "doc", "bag", "doc AS label", "cast(pmod(xxhash64(doc), blocks) AS int) AS mine", "explode(sequence(0, cast(blocks AS int) - 1)) AS other")
-    rows = rows.selectExpr("component", "least(mine, other) AS i", "greatest(mine, other) AS j", "doc", "label", "bag", "mine <= other AS left", "mine = other AS own")
-    # A pair of blocks has the first on its left; a block with itself has all on both sides.
-    return rows.groupBy("component", "i", "j").applyInArrow(_joined(similarity), "a long, b long")
-
-
-def _by_buckets(held: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links within giant components: of texts with the first of each of their buckets, then of those of other classes with their buckets."""
-    spark = sets.sparkSession
-    mine = written(held.join(sets.select("doc", "n"), "doc").select("key", "doc", "pivot", "n"), "giant-buckets")
-    stars = _verify(mine.where("doc <> pivot").selectExpr("pivot AS a", "doc AS b").distinct(), sets, similarity)
-    label = F.coalesce("label", "doc")
-    known = mine.join(labelled(stars), "doc", "left").select("key", "doc", "pivot", "n", label.alias("label"))
-    first = written(known.where("doc = pivot").selectExpr("key", "label AS main"), "giant-firsts")
-    known = written(known.join(first, "key").selectExpr("key", "doc", "n", "label", "label <> main AS outside"), "giant-classes")
-    sizes = known.groupBy("key").agg(F.sum(F.when(F.col("outside"), F.col("n"))).alias("rest"), F.sum("n").alias("words")).where("rest > 0")
-    sizes = written(sizes.selectExpr("key", f"cast(ceil(rest / {BLOCK_WORDS}) AS int) AS lefts", f"cast(ceil(words / {BLOCK_WORDS}) AS int) AS rights"), "giant-sizes")
-    rows = known.join(sizes, "key").join(sets.select("doc", "bag"), "doc")
-    left = rows.where("outside").selectExpr("key", "doc", "label", "bag", "true AS left", "cast(pmod(xxhash64(doc), lefts) AS int) AS i", "explode(sequence(0, rights - 1)) AS j")
-    right = rows.selectExpr("key", "doc", "label", "bag", "false AS left", "explode(sequence(0, lefts - 1)) AS i", "cast(pmod(xxhash64(doc, 7), rights) AS int) AS j")
-    both = left.unionByName(right).withColumn("own", F.lit(False))
-    out = written(stars.unionByName(both.groupBy("key", "i", "j").applyInArrow(_joined(similarity), "a long, b long")), "giant-links")
-    dropped(spark, mine, stars, first, known, sizes)
-    return out
+        met = written(edges.repartition("a").mapInArrow(_contracted, "a long, b long, foreign boolean"), "met", release=False)
+        dropped(spark, *before)
+        least = written(met.groupBy("a").agg(F.min("b").alias("m")), "least", release=False)
+        after = met.join(least.selectExpr("a AS b", "m"), "b", "left").selectExpr("a", "coalesce(m, b) AS b", "foreign OR m IS NOT NULL AS moved")
+        edges = written(after, "onward", release=False)
+        dropped(spark, met, least)
+        before = [edges]
+        if edges.where("moved").isEmpty():
+            return edges.selectExpr("a AS doc", "b AS label")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least doc_id of the same words)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
-    signed = written(texts.mapInArrow(_signed, "doc long, k1 long, k2 long, sign binary"), "signatures")
-    first = written(signed.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "firsts")
-    copies = written(signed.select("doc", "k1", "k2").join(first, ["k1", "k2"]).select("doc", "rep").distinct(), "copies")
-    signs = signed.where("sign IS NOT NULL").join(first.withColumnRenamed("rep", "doc"), ["k1", "k2", "doc"]).select("doc", "sign")
-    bands = written(signs.mapInArrow(_banded, "key long, doc long"), "bands")
-    dropped(spark, signed, first)
-    counts = written(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1").drop("n"), "band-counts")
+    signs = written(texts.mapInArrow(_signed(smallest(similarity)), "doc long, k1 long, k2 long, n long, sign binary"), "signatures")
+    reps = written(signs.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("sign").alias("sign")), "texts")
+    copies = written(signs.select("doc", "k1", "k2").join(reps.selectExpr("k1", "k2", "doc AS rep"), ["k1", "k2"]).select("doc", "rep"), "copies")
+    dropped(spark, signs)
+    bands = reps.where("sign IS NOT NULL").select("doc", "n", "sign").mapInArrow(_banded, "key long, doc long, n long")
+    # Counts are written, so that the join deals out both of its sides by itself and splits a hot bucket.
+    counts = written(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where("size > 1").drop("size"), "band-counts")
     held = written(bands.join(counts, "key"), "buckets")
-    dropped(spark, bands, counts)
-    near = written(labelled(held.where("doc <> pivot").selectExpr("pivot AS a", "doc AS b")).withColumnRenamed("label", "component"), "components")
+    dropped(spark, reps, counts)
     # The hint keeps the plan the same at every size.
-    sets = written(texts.join(near.hint("merge"), "doc").mapInArrow(_bag_sets, "doc long, component long, n long, bag binary"), "bags")
-    blocks = written(sets.groupBy("component").agg(F.expr(f"ceil(sum(n) / {BLOCK_WORDS})").alias("blocks")), "blocks")
-    sets = sets.join(blocks, "component")
-    links = written(_within(sets.where(f"blocks <= {GIANT}"), similarity), "links")
-    giant = sets.where(f"blocks > {GIANT}")
-    if not giant.isEmpty():
-        links = links.unionByName(_by_buckets(held, giant, similarity))
-    same = copies.where("doc <> rep").selectExpr("doc AS a", "rep AS b")
-    labels = labelled(links.unionByName(same))
-    dropped(spark, held, near)
-    ids = copies.groupBy("doc").agg(F.min("rep").alias("rep"))
-    found = ids.join(labels, "doc", "left")
-    return found.select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.col("rep").alias("copy_of"))
+    sets = written(texts.join(held.select("doc").hint("merge"), "doc", "left_semi").mapInArrow(_bag_sets, "doc long, bag binary"), "bags")
+    pairs = held.where("doc <> pivot").selectExpr("pivot AS a", "doc AS b").distinct()
+    pairs = pairs.join(sets.selectExpr("doc AS b", "bag AS bag_b"), "b").join(sets.selectExpr("doc AS a", "bag AS bag_a"), "a")
+    stars = written(pairs.select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(similarity), "a long, b long"), "similar")
+    first = labelled(stars)
+    known = held.join(first, "doc", "left").join(first.selectExpr("doc AS pivot", "label AS main"), "pivot", "left")
+    known = known.selectExpr("doc", "n", "coalesce(label, doc) AS label", "coalesce(main, pivot) AS main")
+    members = written(known.groupBy("main", "doc", "label").agg(F.max("n").alias("n")), "members")
+    dropped(spark, held, stars)
+    sizes = members.groupBy("main").agg(F.sum(F.expr("CASE WHEN label <> main THEN n END")).alias("rest"), F.sum("n").alias("words")).where("rest > 0")
+    sizes = written(sizes.selectExpr("main", f"cast(ceil(rest / {BLOCK_WORDS}) AS int) AS lefts", f"cast(ceil(words / {BLOCK_WORDS}) AS int) AS rights"), "blocks")
+    rows = members.join(sizes, "main").join(sets, "doc")
+    left = "CASE WHEN label <> main THEN transform(sequence(0, rights - 1), j -> struct(true AS left, cast(pmod(xxhash64(doc), lefts) AS int) AS i, j AS j)) ELSE array() END"
+    right = "transform(sequence(0, lefts - 1), i -> struct(false AS left, i AS i, cast(pmod(xxhash64(doc, 7), rights) AS int) AS j))"
+    rows = rows.selectExpr("main", "doc", "label", "bag", f"inline(concat({left}, {right}))")
+    links = written(rows.groupBy("main", "i", "j").applyInArrow(_compared(similarity), "a long, b long"), "links")
+    dropped(spark, members, sizes, sets)
+    # Texts of one doc_id are linked.
+    ids = written(copies.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "ids")
+    same = copies.join(ids.where("rep <> last").selectExpr("doc", "rep AS a"), "doc").join(first.selectExpr("doc AS a", "label AS label_a"), "a", "left").join(first.selectExpr("doc AS rep", "label AS label_b"), "rep", "left")
+    second = labelled(links.unionByName(same.selectExpr("coalesce(label_a, a) AS a", "coalesce(label_b, rep) AS b")))
+    labels = first.join(second.selectExpr("doc AS label", "label AS last"), "label", "left").selectExpr("doc AS rep", "coalesce(last, label) AS label").unionByName(second.selectExpr("doc AS rep", "label"))
+    dropped(spark, copies, links)
+    found = ids.select("doc", "rep").join(labels, "rep", "left")
+    return found.select(F.col("doc").alias("doc_id"), F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
