@@ -17,8 +17,9 @@ lines and with the distinct profiles of what stays open, not with the square of
 
 Defined results: a null text has no lines and stays null; a text that is deleted whole
 becomes empty; lines are parted by \\n alone; lines that repeat within one document stay;
-documents are ordered by doc_id, and rows of one doc_id are not aligned with each other;
-rows of a null doc_id stay as they are; an empty table gives no rows.
+documents are ordered by doc_id, and rows of one doc_id are not aligned with each other:
+each loses its own lines (rows are told apart by a hash of their text); rows of a null
+doc_id stay as they are; an empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -153,22 +154,43 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, cuts = pa.array(rows.astype(np.int32)), pa.array(cuts.astype(np.int32))
         found = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (total.view(np.int64), sizes.astype(np.int32))]
         found += [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys.view(np.int64), places.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([batch["doc"], *found], names=["doc", "lines", "sizes", "keys", "places"])
+        yield pa.RecordBatch.from_arrays([batch["doc"], batch["row"], *found], names=["doc", "row", "lines", "sizes", "keys", "places"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deleted lines of each document, from the holders it meets and from before, and the keys of lines that still stand."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows as Python objects, a few hundred at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256).to_pylist()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of a document and what an earlier one holds (other): the document's lines that go."""
+    for rows in _rows(batches):
+        found = ((r["doc"], r["row"], sorted(common_lines(r["other"], r["lines"], [n >= MIN_WORDS for n in r["sizes"]]))) for r in rows)
+        out = [x for x in found if x[2]]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["doc", "row", "gone"])
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All deleted lines of each document (gone and more), and the keys of lines that still stand, of those in open if it is given."""
+    for rows in _rows(batches):
         out = []
-        for r in batch.to_pylist():
-            rare = [n >= MIN_WORDS for n in r["sizes"]]
-            gone = set(r["gone"] or ()).union(*(common_lines(x, r["lines"], rare) for x in r["firsts"] or ()))
+        for r in rows:
+            gone = {*(r["gone"] or ()), *(r["more"] or ())}
             still = {k for k, p in zip(r["keys"], r["places"], strict=True) if p not in gone}
             out.append((r["doc"], r["row"], sorted(gone), sorted(still if r["open"] is None else still.intersection(r["open"]))))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["doc", "row", "gone", "open"])
 
 
+def _more(pairs: DataFrame) -> DataFrame:
+    """doc, row and more: what goes from a document by all its pairs; no list is longer than its lines."""
+    found = pairs.select("doc", "row", "lines", "sizes", "other").mapInArrow(_blocks, "doc long, row long, gone array<int>")
+    return found.select("doc", "row", F.explode("gone").alias("at")).groupBy("doc", "row").agg(F.collect_set("at").alias("more"))
+
+
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' lines, where runs of long lines that no other document holds are one ALONE."""
     for batch in batches:
@@ -206,9 +228,9 @@ def _further(lined: DataFrame, held: DataFrame, shared: DataFrame, first: DataFr
     lo, step = 0, STEP
     while lo < last:
         near = kinds.where((F.col("place") >= lo) & (F.col("place") < lo + step))
-        pairs = todo.select("doc", "row", F.explode("open").alias("key")).join(near, "key").where("least < doc").select("doc", "row", "profile").distinct()
-        firsts = pairs.groupBy("doc", "row").agg(F.collect_list("profile").alias("firsts"))
-        before, todo = todo, written(base.join(todo, ["doc", "row"]).join(firsts, ["doc", "row"], "left").mapInArrow(_met, MET), "open-lines")
+        pairs = todo.select("doc", "row", F.explode("open").alias("key")).join(near, "key").where("least < doc").select("doc", "row", F.col("profile").alias("other")).distinct()
+        more = _more(pairs.join(base, ["doc", "row"]))
+        before, todo = todo, written(base.join(todo, ["doc", "row"]).join(more, ["doc", "row"], "left").mapInArrow(_standing, MET), "open-lines")
         dropped(spark, before)
         if todo.where("size(open) > 0").isEmpty():
             break
@@ -218,34 +240,34 @@ def _further(lined: DataFrame, held: DataFrame, shared: DataFrame, first: DataFr
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
-    """doc and gone: the indexes of its lines that aligned blocks with earlier documents hold."""
+    """doc, row (a hash of the text) and gone: the indexes of its lines that aligned blocks with earlier documents hold."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    lined = rows.mapInArrow(_lined, "doc long, lines array<long>, sizes array<int>, keys array<long>, places array<int>")
-    lined = written(lined.withColumn("row", F.xxhash64("lines")), "lines")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
+    lined = written(rows.mapInArrow(_lined, "doc long, row long, lines array<long>, sizes array<int>, keys array<long>, places array<int>"), "lines")
     held = lined.selectExpr("doc", "explode(array_distinct(keys)) AS key")
     first = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that the join below deals out both of its sides by itself and splits a hot line.
     first = written(first, "first-holders")
     shared = written(held.join(first, "key").where("first < doc").select("doc", "key", "first"), "shared-lines")
     pairs = written(shared.select("doc", "first").distinct(), "line-pairs")
-    met = pairs.join(lined.selectExpr("doc AS first", "lines AS first_lines"), "first").groupBy("doc").agg(F.collect_list("first_lines").alias("firsts"))
-    met = lined.join(met, "doc").selectExpr("*", "cast(NULL AS array<int>) AS gone", "cast(NULL AS array<long>) AS open")
-    met = written(met.mapInArrow(_met, MET), "met")
-    more = _further(lined, held, shared, first, met)
-    out = met.select("doc", "row", "gone").unionByName(more.select("doc", "row", "gone")).groupBy("doc", "row").agg(F.max_by("gone", F.size("gone")).alias("gone"))
-    # Rows of one doc_id share what is deleted from either only if each alone is meant; the first list is taken.
-    out = written(out.where("size(gone) > 0").groupBy("doc").agg(F.min_by("gone", F.size("gone")).alias("gone")), "deleted")
-    dropped(spark, lined, first, shared, pairs, met, more)
+    met = pairs.join(lined.selectExpr("doc AS first", "lines AS other"), "first").join(lined.select("doc", "row", "lines", "sizes"), "doc")
+    more = written(_more(met), "aligned")
+    met = lined.join(pairs.select("doc").hint("merge"), "doc", "left_semi").join(more, ["doc", "row"], "left").selectExpr("*", "cast(NULL AS array<int>) AS gone", "cast(NULL AS array<long>) AS open")
+    met = written(met.mapInArrow(_standing, MET), "met")
+    dropped(spark, more)
+    further = _further(lined, held, shared, first, met)
+    out = met.select("doc", "row", "gone").unionByName(further.select("doc", "row", "gone")).groupBy("doc", "row").agg(F.max_by("gone", F.size("gone")).alias("gone"))
+    out = written(out.where("size(gone) > 0"), "deleted")
+    dropped(spark, lined, first, shared, pairs, met, further)
     return out
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, counts, removed = [], [], []
         for text, gone in zip(batch["text"].to_pylist(), batch["gone"].to_pylist(), strict=True):
             lines = text.split("\n") if text else []
-            cut = {g for g in gone or () if g < len(lines)}
+            cut = set(gone or ())
             texts.append("\n".join(x for k, x in enumerate(lines) if k not in cut) if cut else text)
             counts.append(len(lines))
             removed.append(len(cut))
@@ -259,7 +281,7 @@ def without_common_lines(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("rest"), F.col("text").cast("string").alias("text"))
     # The hint keeps the plan the same at every size.
-    rows = rows.withColumn("doc", F.col("rest.doc_id").cast("long")).join(gone.hint("merge"), "doc", "left").select("rest", "text", "gone")
+    rows = rows.withColumn("doc", F.col("rest.doc_id").cast("long")).withColumn("row", F.xxhash64("text")).join(gone.hint("merge"), ["doc", "row"], "left").select("rest", "text", "gone")
     rest = StructField("rest", rows.schema["rest"].dataType)
     kinds = StructType([rest, StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return rows.mapInArrow(_shortened, kinds)
