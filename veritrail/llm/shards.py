@@ -7,8 +7,14 @@ FANOUT shards, they are merged into files of about the target's size (without a
 shuffle: whole shards are read together) and a new manifest lists the result in their
 place. A manifest is written under a name of its own; a small file that names it is then
 renamed, without overwriting, to its version's number. The rename fails if another
-writer has taken that number, and then nothing has changed. Readers of
-an older version keep their files until expire() removes what no kept version lists.
+writer has taken that number: then nothing has changed, and the commit is made again on
+the newer version, with the shards that are already written (a merge whose shards
+somebody else has merged meanwhile is given up, and its files go). Readers of an older
+version keep their files until expire() removes what no kept version lists; it also
+removes what a lost writer has left, once that is older than ORPHAN_HOURS.
+
+Paths of shards come to the driver where shards are read or merged, as they do in any
+list of files that Spark makes of a table: a path for each TARGET_BYTES of data.
 
 Defined results: null and empty texts and repeated rows are kept as they are; an empty
 arrival commits a version without new shards; all columns are kept, whatever their
@@ -22,12 +28,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
+#: Shards that one merge takes at most; more are merged in further rounds.
+MERGE_FILES = 10_000
+#: How often a commit is tried again when other writers are faster, and the age from which on unlisted files are a lost writer's.
+RETRIES, ORPHAN_HOURS = 20, 48.0
 _MANIFEST = "path string, tier int, bytes long, rows long"
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the version."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.path, self.target, self.fanout = spark, path.rstrip("/"), target_bytes, fanout
@@ -74,28 +89,56 @@ class Store:
         except Exception as error:
             fs.delete(pointer, False)
             fs.delete(folder, True)
-            raise RuntimeError(f"version {base + 1} was committed by another writer, or the rename failed") from error
+            raise Conflict(f"version {base + 1} was committed by another writer, or the rename failed") from error
         return base + 1
 
-    def _listed(self, folder: str) -> DataFrame:
+    def _listed(self, folder: str, schema: StructType) -> DataFrame:
         """Manifest rows of the files of a run: counted where they lie, one row a file."""
-        rows = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(float(self.fanout), F.greatest(F.col("bytes"), F.lit(1)) / self.floor())))
         return rows.groupBy("path", "bytes").agg(F.count("*").alias("rows")).select("path", tier.cast("int").alias("tier"), "bytes", "rows")
 
+    def _committed(self, folder: str, schema: StructType, gone: DataFrame | None = None) -> int | None:
+        """Commit the files of folder in place of those of gone (path); None if some of these are listed no more."""
+        new, many = self._listed(folder, schema), gone.count() if gone else 0
+        try:
+            for _ in range(RETRIES):
+                base = self.version()
+                listed = self.manifest(base)
+                if gone and listed.join(gone, "path", "left_semi").count() < many:
+                    break
+                rest = listed.join(gone, "path", "left_anti") if gone else listed
+                try:
+                    return self.commit(rest.unionByName(new), base)
+                except Conflict:
+                    continue
+            else:
+                raise Conflict(f"other writers were faster {RETRIES} times")
+        except BaseException:
+            self._delete(folder)
+            raise
+        self._delete(folder)
+        return None
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._fs(path)
+        fs.delete(p, True)
+
     def floor(self) -> float:
         """Bytes of tier 0's upper end: FANOUT ** 3 of them make a target."""
         return self.target / self.fanout**3
 
     def append(self, arrivals: DataFrame, splits: int | None = None) -> int:
         """Write arrivals as small shards and commit; splits deals each task's rows into so many shards."""
-        base, folder = self.version(), f"{self.path}/data/{uuid.uuid4().hex}"
+        folder, schema = f"{self.path}/data/{uuid.uuid4().hex}", arrivals.schema
         if splits:
-            arrival = F.pmod(F.xxhash64(F.col(arrivals.columns[0])), F.lit(splits)).alias("_arrival")
-            arrivals.select("*", arrival).write.partitionBy("_arrival").parquet(folder)
+            name, taken = "_arrival", {c.lower() for c in arrivals.columns}
+            while name in taken:
+                name += "_"
+            arrivals.withColumn(name, F.pmod(F.xxhash64(F.col(f"`{arrivals.columns[0]}`")), F.lit(splits))).write.partitionBy(name).parquet(folder)
         else:
             arrivals.write.parquet(folder)
-        return self.commit(self.manifest(base).unionByName(self._listed(folder)), base)
+        return self._committed(folder, schema)
 
     def compact(self) -> int:
         """Merge every tier that has FANOUT shards or more, until none has; returns the version."""
@@ -115,29 +158,32 @@ class Store:
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)
             rows.coalesce(max(1, round(size / self.target))).write.parquet(folder)
-            rest = self.manifest(base).join(chosen, "path", "left_anti")
-            self.commit(rest.unionByName(self._listed(folder)), base)
+            self._committed(folder, rows.schema, chosen)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version; None if it has none."""
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
         return self.spark.read.option("recursiveFileLookup", "true").parquet(*paths) if paths else None
 
-    def expire(self, keep: int = 1) -> None:
-        """Drop all but the newest versions, and the shards that only they list."""
+    def expire(self, keep: int = 1, orphan_hours: float = ORPHAN_HOURS) -> None:
+        """Drop all but the newest versions, the shards that only they list, and runs of lost writers: listed nowhere and older than orphan_hours."""
         versions = self.versions()
         old, kept = versions[:-keep], versions[-keep:]
-        if not old:
-            return
         listed = lambda vs: self.spark.read.schema(_MANIFEST).parquet(*map(self._named, vs)).select("path").distinct()
-        for row in listed(old).join(listed(kept), "path", "left_anti").toLocalIterator():
-            path, fs = self._fs(row["path"])
-            fs.delete(path, False)
+        if old:
+            for row in listed(old).join(listed(kept), "path", "left_anti").toLocalIterator():
+                path, fs = self._fs(row["path"])
+                fs.delete(path, False)
         for v in old:
             for name in (self._named(v), f"{self.path}/manifests/v{v:09d}"):
-                path, fs = self._fs(name)
-                fs.delete(path, True)
-
-
-#: Shards that one merge takes at most; more are merged in further rounds.
-MERGE_FILES = 10_000
+                self._delete(name)
+        folder, fs = self._fs(f"{self.path}/data")
+        if not fs.exists(folder):
+            return
+        before = self.jvm.System.currentTimeMillis() - orphan_hours * 3_600_000
+        # Folders of runs, one for each commit; a run's files lie in it or in folders of splits.
+        runs = [s.getPath().getName() for s in fs.listStatus(folder) if s.getModificationTime() < before]
+        live = {r["run"] for r in listed(self.versions()).selectExpr("regexp_extract(path, '/data/([0-9a-f]{32})/', 1) AS run").distinct().collect()} if runs and versions else set()
+        for run in runs:
+            if run not in live:
+                self._delete(f"{self.path}/data/{run}")
