@@ -4,13 +4,16 @@ A text's features are its words, its word pairs, and words and pairs of their sh
 (letters as one sign, digits as another, runs once), all hashed into one table of
 weights; values are square roots of counts, of length one within words and within
 shapes. Training is FTRL-proximal with per-coordinate rates, one row after the other,
-in one executor task over a bounded sample of labelled rows (SAMPLE rows). Scores are sparse dot products, computed where documents are read.
+in one executor task over a bounded sample of labelled rows: at most SAMPLE, of at most
+SAMPLE doc_ids that a hash draws. Scores are sparse dot products, computed where
+documents are read.
 
 Defined results: a null or empty text has no features and scores by the bias alone;
 repeated rows are scored each for itself; an empty table gives no rows; rows whose label
 is null are not learned from; with no labelled row every score is 0.5; of several labels
-of one doc_id, one row is drawn for each; columns besides those named are kept by
-keep_good and never read.
+of one doc_id the greatest counts, and of several rows of one the least text by hash is
+learned from; a null doc_id has no label and is not held out; columns besides those named
+are kept by keep_good and never read.
 """
 
 from __future__ import annotations
@@ -128,6 +131,8 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    # One text of each doc_id, however many rows it has: partial aggregates keep one in each task.
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = rows.mapInArrow(_featured, "doc_id long, label int, index binary, value binary").repartition(1).mapInArrow(_trained, "weights binary").collect()
     return np.frombuffer(found[0][0], "<f4") if found else np.zeros((1 << BITS) + 1, "<f4")
 
@@ -149,7 +154,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
