@@ -423,7 +423,31 @@ def test_quality_ids_and_splits(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
 
 
-@pytest.mark.parametrize("window", [35, 22])
+def test_symbols_are_those_of_their_context():
+    """The same words in other surroundings make the same symbol wherever a symbol's context is whole; every symbol's words are its own."""
+    rng = random.Random(47)
+    for _ in range(60):
+        core = [rng.choice("abcde") * rng.randint(1, 2) for _ in range(60)]
+        texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] + core + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for _ in range(2)]
+        words, rows = common.word_hashes(pa.array([" ".join(t) for t in texts]))
+        flat = [w for t in texts for w in t]
+        for s in repeats.recompressed(words, rows):
+            assert s.start[0] == 0 and s.end[-1] == len(flat) and (s.start[1:] == s.end[:-1]).all()
+            held, named = {}, {}
+            for name, start, end, low, high in zip(s.names.tolist(), s.start.tolist(), s.end.tolist(), s.low.tolist(), s.high.tolist(), strict=True):
+                assert named.setdefault(name, flat[start:end]) == flat[start:end]
+                if low >= 0 and high <= len(flat):
+                    held[tuple(flat[low:high]), start - low] = name
+            # Wherever a context stands again in a row, its symbol stands there.
+            there = {(st, name) for st, name in zip(s.start.tolist(), s.names.tolist(), strict=True)}
+            for (context, offset), name in held.items():
+                for a, b in zip(rows.tolist(), rows.tolist()[1:], strict=False):
+                    for p in range(a, b - len(context) + 1):
+                        if tuple(flat[p : p + len(context)]) == context:
+                            assert (p + offset, name) in there
+
+
+@pytest.mark.parametrize("window", [35, 22, 5, 90])
 def test_repeats(docs, none, window):
     count = Counter(tuple(w[i : i + window]) for w in SPLIT.values() for i in range(len(w) - window + 1))
     got = by_id(repeats.without_repeats(clash(docs), window, with_text=True))
@@ -434,7 +458,24 @@ def test_repeats(docs, none, window):
         assert got[i]["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert repeats.without_repeats(none).count() == 0
     with pytest.raises(ValueError):
-        repeats.without_repeats(docs, 10)
+        repeats.without_repeats(docs, 0)
+
+
+def test_repeats_of_runs_and_few_words(spark):
+    """Texts of two words, runs that end differently, periods, and rows that stand many times."""
+    rng = random.Random(53)
+    texts = ["a " * 60, "a " * 45 + "b " * 45, "b " * 20 + "a " * 50, "a b " * 40, "a b c " * 30, "x " + "a b " * 30 + "y", "a " * 34, "b " * 35]
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.randint(30, 400))) for _ in range(12)] + [" ".join(rng.choice(["a", "a", "a", "a", "b"]) for _ in range(300)) for _ in range(6)]
+    rows = list(enumerate(texts)) + [(1, texts[1])] * 5
+    split = [x.split() for _, x in rows]
+    for window in (35, 8):
+        count = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+        want = []
+        for (i, _), w in zip(rows, split, strict=True):
+            gone = {j + k for j in range(len(w) - window + 1) if count[tuple(w[j : j + window])] > 1 for k in range(window)}
+            want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+        found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window, with_text=True)
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()) == sorted(want)
 
 
 def test_repeats_of_null_and_repeated_ids(spark):
