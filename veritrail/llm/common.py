@@ -8,10 +8,11 @@ numpy at once; batches are cut to a few MB of text so that memory stays bounded.
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +36,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the cluster names none."""
+    """The folder that all executors share; where none is named, a folder of our own on a single machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/veritrail-shared"
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str, release: bool = True) -> DataFrame:
+#: Spark drops a query's shuffle files as soon as its result stands.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends here.
 
     A lost executor then costs the tasks that read the table, not those that made it.
-    Shuffle files of what has been written are let go, unless release is false.
+    Shuffle files of what has been written are let go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(out)
     return out
 
 
+#: Tables written within temporary(), if we are in it.
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end all tables of written() that are made within, but for those given to the function that it yields."""
+    tables, kept = [], []
+    outer, token = _SCOPE.get(), _SCOPE.set(tables)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        paths = {t.written_path for t in kept}
+        dropped(spark, *(t for t in tables if t.written_path not in paths))
+        if outer is not None:
+            outer.extend(kept)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of written() that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -78,6 +111,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lower(col: pa.Array) -> pa.Array:
+    """Texts in lower case; null is empty."""
+    return pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), ""))
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):

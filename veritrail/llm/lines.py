@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veritrail.llm.common import dropped, hashes, mix, ranges, row_of, slices, spans, text_bytes, written
+from veritrail.llm.common import hashes, mix, ranges, row_of, slices, spans, temporary, text_bytes, written
 
 MIN_WORDS = 5
 #: Profiles of a key that the first further round meets, the growth of later rounds, and their largest step.
@@ -193,17 +193,16 @@ def _more(pairs: DataFrame) -> DataFrame:
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' lines, where runs of long lines that no other document holds are one ALONE."""
-    for batch in batches:
-        docs, out = [], []
-        for r in batch.to_pylist():
+    for rows in _rows(batches):
+        out = []
+        for r in rows:
             shared, profile = set(r["shared"]), []
             for x, n in zip(r["lines"], r["sizes"], strict=True):
                 x = ALONE if n >= MIN_WORDS and x not in shared else x
                 if x != ALONE or profile[-1:] != [ALONE]:
                     profile.append(x)
-            docs.append(r["doc"])
             out.append(profile)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "profile"])
+        yield pa.RecordBatch.from_arrays([pa.array([r["doc"] for r in rows], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "profile"])
 
 
 MET = "doc long, row long, gone array<int>, open array<long>"
@@ -211,7 +210,6 @@ MET = "doc long, row long, gone array<int>, open array<long>"
 
 def _further(lined: DataFrame, held: DataFrame, shared: DataFrame, first: DataFrame, met: DataFrame) -> DataFrame:
     """doc, row and gone of the documents in met whose lines still stand though an earlier document holds their keys."""
-    spark = lined.sparkSession
     keys = met.select("doc", "row", F.explode("open").alias("key")).join(shared.select("doc", "key").distinct(), ["doc", "key"])
     todo = written(keys.groupBy("doc", "row").agg(F.collect_set("key").alias("open")).join(met.select("doc", "row", "gone"), ["doc", "row"]).select("doc", "row", "gone", "open").dropDuplicates(["doc", "row"]), "open-lines")
     wanted = written(todo.select(F.explode("open").alias("key")).distinct(), "open-keys")
@@ -230,18 +228,15 @@ def _further(lined: DataFrame, held: DataFrame, shared: DataFrame, first: DataFr
         near = kinds.where((F.col("place") >= lo) & (F.col("place") < lo + step))
         pairs = todo.select("doc", "row", F.explode("open").alias("key")).join(near, "key").where("least < doc").select("doc", "row", F.col("profile").alias("other")).distinct()
         more = _more(pairs.join(base, ["doc", "row"]))
-        before, todo = todo, written(base.join(todo, ["doc", "row"]).join(more, ["doc", "row"], "left").mapInArrow(_standing, MET), "open-lines")
-        dropped(spark, before)
+        todo = written(base.join(todo, ["doc", "row"]).join(more, ["doc", "row"], "left").mapInArrow(_standing, MET), "open-lines")
         if todo.where("size(open) > 0").isEmpty():
             break
         lo, step = lo + step, min(step * GROWTH, MOST)
-    dropped(spark, wanted, holders, counts, kinds, base)
     return todo
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
     """doc, row (a hash of the text) and gone: the indexes of its lines that aligned blocks with earlier documents hold."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
     lined = written(rows.mapInArrow(_lined, "doc long, row long, lines array<long>, sizes array<int>, keys array<long>, places array<int>"), "lines")
     held = lined.selectExpr("doc", "explode(array_distinct(keys)) AS key")
@@ -254,12 +249,9 @@ def deleted_lines(docs: DataFrame) -> DataFrame:
     more = written(_more(met), "aligned")
     met = lined.join(pairs.select("doc").hint("merge"), "doc", "left_semi").join(more, ["doc", "row"], "left").selectExpr("*", "cast(NULL AS array<int>) AS gone", "cast(NULL AS array<long>) AS open")
     met = written(met.mapInArrow(_standing, MET), "met")
-    dropped(spark, more)
     further = _further(lined, held, shared, first, met)
     out = met.select("doc", "row", "gone").unionByName(further.select("doc", "row", "gone")).groupBy("doc", "row").agg(F.max_by("gone", F.size("gone")).alias("gone"))
-    out = written(out.where("size(gone) > 0"), "deleted")
-    dropped(spark, lined, first, shared, pairs, met, further)
-    return out
+    return written(out.where("size(gone) > 0"), "deleted")
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +269,8 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_common_lines(docs: DataFrame) -> DataFrame:
     """rest (all columns of docs but text, as a struct), text without deleted lines, n_lines and n_removed."""
-    gone = deleted_lines(docs)
+    with temporary(docs.sparkSession) as keep:
+        gone = keep(deleted_lines(docs))
     columns = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("rest"), F.col("text").cast("string").alias("text"))
     # The hint keeps the plan the same at every size.

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import dropped, grams, in_row, mix, row_of, slices, word_hashes, written
+from veritrail.llm.common import dropped, grams, in_row, mix, row_of, slices, temporary, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -261,11 +261,11 @@ def labelled(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges, before = links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b"), []
     while True:
-        met = written(edges.repartition("a").mapInArrow(_contracted, "a long, b long, foreign boolean"), "met", release=False)
+        met = written(edges.repartition("a").mapInArrow(_contracted, "a long, b long, foreign boolean"), "met")
         dropped(spark, *before)
-        least = written(met.groupBy("a").agg(F.min("b").alias("m")), "least", release=False)
+        least = written(met.groupBy("a").agg(F.min("b").alias("m")), "least")
         after = met.join(least.selectExpr("a AS b", "m"), "b", "left").selectExpr("a", "coalesce(m, b) AS b", "foreign OR m IS NOT NULL AS moved")
-        edges = written(after, "onward", release=False)
+        edges = written(after, "onward")
         dropped(spark, met, least)
         before = [edges]
         if edges.where("moved").isEmpty():
@@ -318,5 +318,6 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Which rows go is few and written, so a join decides that Spark can split.
     """
-    gone = written(classes(docs.select("doc_id", "text"), similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("gone")), "gone")
+    with temporary(docs.sparkSession) as keep:
+        gone = keep(written(classes(docs.select("doc_id", "text"), similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("gone")), "gone"))
     return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["gone"], "left_anti")

@@ -3,13 +3,16 @@
 Documents are tokenized where they are read; no row moves. Each task fills blocks of
 at most BLOCK_WINDOWS windows of tokens, so memory doesn't grow with the input: the
 pieces of a block are partitioned into k windows by differencing (partial partitions
-with opposing imbalances merge until one is left), where k rises with every capacity
-that the block's tokens exceed. Sums are then equal within a few hundredths; what
-stands over the capacity of a window is cut off and fills the room of others. All
-blocks of a task but its last are full, so at most one window a task is padded.
+with opposing imbalances merge until one is left). The window count k rises by one for
+each capacity that the block's tokens exceed, and never beyond: as documents may be cut
+freely, what stands over the capacity of a window after differencing (a few hundredths)
+is cut off and fills the room that others have, instead of opening another, nearly empty
+window. All blocks of a task but its last are full, so at most one window a task is
+padded.
 
 Defined results: a null or empty text is one token (the end mark); repeated rows are
-packed each for itself; an empty table gives no pieces; other columns are not read.
+packed each for itself; a null doc_id stays null; an empty table gives no pieces; other
+columns are not read.
 """
 
 from __future__ import annotations

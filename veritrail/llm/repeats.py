@@ -225,13 +225,13 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _repeated(df: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of df whose key stands at least twice.
+def _repeated(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key stands at least twice, and the table of such keys, to be dropped after use.
 
     Counts are partial first; they are written, so that the join deals out both of its sides by itself and splits a hot key.
     """
-    counts = written(df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-keys")
-    return df.join(counts, key)
+    keys = written(df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-keys")
+    return df.join(keys, key), keys
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -244,7 +244,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         raise ValueError("a window has one word at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = written(_repeated(docs.mapInArrow(_anchored(window), "name long, doc long, lo int"), ["name"]).select("doc", "lo"), "anchors")
+    found, names = _repeated(docs.mapInArrow(_anchored(window), "name long, doc long, lo int"), ["name"])
+    found = written(found.select("doc", "lo"), "anchors")
     # A set: of a row that stands many times, the places are listed once.
     per_doc = found.groupBy("doc").agg(F.collect_set("lo").alias("known"))
     held = written(docs.join(per_doc, "doc").mapInArrow(_compared(window), "name long, d1 long, d2 long, doc long, lo int, windows array<long>"), "stretches")
@@ -257,11 +258,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     # A row that stands many times holds its stretches as often; one of them is enough.
     single = held.join(holders, [*kind, "doc", "lo"]).groupBy(*kind).agg(F.first("windows").alias("windows")).select(*kind, F.posexplode("windows").alias("i", "window"))
     single = written(single, "single-windows")
-    again = _repeated(single, ["name", "window"]).groupBy(*kind).agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    again, twice = _repeated(single, ["name", "window"])
+    again = again.groupBy(*kind).agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = kinds.join(again, kind, "left").selectExpr(*kind, "CASE WHEN n > 1 THEN -1L ELSE mask END AS mask").where("mask IS NOT NULL")
     masks = written(masks, "masks")
     rows = held.selectExpr(*kind, "doc", "lo", "size(windows) AS k").join(masks, kind)
     starts = written(rows.groupBy("doc").agg(F.collect_set(F.struct("lo", "k", "mask")).alias("repeated")), "repeats")
-    dropped(docs.sparkSession, found, held, kinds, mixed, single, masks)
+    dropped(docs.sparkSession, found, names, twice, held, kinds, mixed, single, masks)
     out = docs.join(starts, "doc", "left").mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
