@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm import decontam, lines, neardup, packing, quality
-from veritrail.llm.common import table, written
+from veritrail.llm.common import dropped, table, temporary, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    """The pieces of what all stages keep. Tables of a stage go once the next one is written; the last is read by the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{k}"))
+        if before is not None:
+            dropped(spark, before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
