@@ -34,14 +34,6 @@ def g22_groups(d: Spark) -> str:
   SELECT qid, norm, substring(short, 7) AS surface, sources, cast(score AS bigint) AS score, cast(row_number() OVER (PARTITION BY qid ORDER BY is_current DESC, score DESC, n_sources DESC, norm) AS bigint) AS r FROM g"""
 
 
-def n6_selector(d: Spark) -> str:
-    """A candidate replaces the current answer by score, margin, occurrences and a field of the context family."""
-    return f"""{_with(d, v.candidates(d), _normed(d))}, g AS (SELECT qid, norm, min(value) AS value, sum({_WEIGHTS}) + CASE WHEN max(CASE WHEN src = 'reader' THEN 1 ELSE 0 END) = 1 THEN 10 ELSE 0 END AS score, count(*) AS n,
-  max(CASE WHEN contains(field, 'context') THEN 1 ELSE 0 END) AS context_field, max(CASE WHEN src = 'reader' THEN 1 ELSE 0 END) AS is_current FROM normed WHERE norm <> '' GROUP BY qid, norm),
-  cur AS (SELECT qid, value, score FROM g WHERE is_current = 1), alt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, norm) AS r FROM g WHERE is_current = 0 AND context_field = 1)
-  SELECT cur.qid, CASE WHEN alt.score >= 4 AND alt.score - (cur.score - 10) >= 1 AND alt.n >= 1 THEN alt.value ELSE cur.value END AS answer, coalesce(alt.score >= 4 AND alt.score - (cur.score - 10) >= 1 AND alt.n >= 1, false) AS switched FROM cur LEFT JOIN alt ON cur.qid = alt.qid AND alt.r = 1"""
-
-
 def g23_ceiling(d: Spark) -> str:
     """The best candidate of each question and how the current answer stands to it; the gold is the last word."""
     return f"""{_with(d, v.candidates(d), _normed(d))}, gold AS (SELECT qid, {t.normalized(d, "last_word")} AS g FROM wide), scored AS (SELECT n.qid, src, pos, CASE WHEN norm = g THEN 1 ELSE 0 END AS em, CASE WHEN norm <> '' AND g <> '' AND contains(norm, g) THEN 1 ELSE 0 END AS part FROM normed n JOIN gold ON n.qid = gold.qid WHERE src <> 'tail'),
@@ -210,4 +202,4 @@ def k11_repairs(d: Spark) -> str:
     return "SELECT user_id, count(*) > 0 AS attempted, cast(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS bigint) AS added, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'repaired' ELSE 'residual' END AS outcome FROM events GROUP BY user_id"
 
 
-QUERIES = (g21_consensus, g22_groups, n6_selector, g23_ceiling, n8_agreement, n2_context, n3_challenger, n5_best_iteration, n12_overlay, n16_alternatives, t34_rules, f1_gold_join, f5_overlap, f6_resume, i1_union, i2_sets, i3_multiset, i4_pool, h4_dedup, t1_shards, t4_ordered_merge, t6_bodies, b3_export, b6_cache_keys, b7_reuse, b8_fallbacks, b9_merge, b10_manifest, t26_sources, t35_by_type, t11_decision, t12_overlong, t33_confidence, k11_repairs)
+QUERIES = (g21_consensus, g22_groups, g23_ceiling, n8_agreement, n2_context, n3_challenger, n5_best_iteration, n12_overlay, n16_alternatives, t34_rules, f1_gold_join, f5_overlap, f6_resume, i1_union, i2_sets, i3_multiset, i4_pool, h4_dedup, t1_shards, t4_ordered_merge, t6_bodies, b3_export, b6_cache_keys, b7_reuse, b8_fallbacks, b9_merge, b10_manifest, t26_sources, t35_by_type, t11_decision, t12_overlong, t33_confidence, k11_repairs)

@@ -117,10 +117,10 @@ def l11_entities(d: Spark) -> str:
     return f"WITH s AS (SELECT p_partkey, {words} AS w FROM part) SELECT p_partkey, {d.joined(d.sorted(f'CASE WHEN {d.size(kept)} = 0 THEN w ELSE {kept} END'), '|')} AS entities FROM s"
 
 
-def f8_fuzzy(d: Spark, asked: str = "lang = 'es'") -> str:
+def f8_fuzzy(d: Spark) -> str:
     """Entities linked to nodes: equal names first, then one within the other, then token overlap; nodes in order."""
     head = lambda n: d.joined(d.slice(t.words(d, "text"), "1", str(n)), " ")
-    return f"""WITH e AS (SELECT doc_id AS eid, {t.entity_name(d, head(3))} AS name FROM documents WHERE {asked}), n AS (SELECT doc_id AS pos, {t.entity_name(d, head(4))} AS name FROM documents),
+    return f"""WITH e AS (SELECT doc_id AS eid, {t.entity_name(d, head(3))} AS name FROM documents), n AS (SELECT doc_id AS pos, {t.entity_name(d, head(4))} AS name FROM documents),
   et AS (SELECT eid, name, {d.distinct(d.filter(d.split("name", " "), "w", "w <> ''"))} AS w FROM e WHERE name <> ''), nt AS (SELECT pos, name, {d.distinct(d.filter(d.split("name", " "), "w", "w <> ''"))} AS w FROM n WHERE name <> ''),
   eu AS (SELECT eid, name, w, u FROM et, {d.rows("w", "u")}), nu AS (SELECT pos, name, w, u FROM nt, {d.rows("w", "u")}),
   met AS (SELECT eid, eu.name AS a, pos, nu.name AS b, count(*) AS shared, max({d.size("eu.w")}) AS na, max({d.size("nu.w")}) AS nb FROM eu JOIN nu ON eu.u = nu.u GROUP BY eid, eu.name, pos, nu.name),
@@ -129,13 +129,15 @@ def f8_fuzzy(d: Spark, asked: str = "lang = 'es'") -> str:
 
 
 def f9_embeddings(d: Spark) -> str:
-    """For every hundredth vector, the three nearest others by cosine, over 0.75 only."""
+    """Mentions linked to the three nearest entities by cosine, over 0.75 only: every hundredth vector, blurred by the next one, stands for a mention."""
     if d.name == "spark":
         dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * cast(y AS double)), 0D, (s, x) -> s + x)"
+        mix = "zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) + cast(0.8 AS double) * cast(y AS double))"
     else:
         dot = lambda a, b: f"list_dot_product(cast({a} AS double[]), cast({b} AS double[]))"
-    return f"""WITH n AS (SELECT vec_id, embedding, sqrt({dot("embedding", "embedding")}) AS norm FROM embeddings), q AS (SELECT * FROM n WHERE vec_id % 100 = 0),
-  s AS (SELECT q.vec_id AS qid, n.vec_id, round({dot("q.embedding", "n.embedding")} / (q.norm * n.norm), 4) AS cosine FROM q JOIN n ON q.vec_id <> n.vec_id WHERE q.norm > 0 AND n.norm > 0),
+        mix = "list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] AS double) + cast(0.8 AS double) * cast(z[2] AS double))"
+    return f"""WITH n AS (SELECT vec_id, embedding, sqrt({dot("embedding", "embedding")}) AS norm FROM embeddings), mixed AS (SELECT a.vec_id, {mix} AS embedding FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0), q AS (SELECT vec_id, embedding, sqrt({dot("embedding", "embedding")}) AS norm FROM mixed),
+  s AS (SELECT q.vec_id AS qid, n.vec_id, round({dot("q.embedding", "n.embedding")} / (q.norm * n.norm), 4) AS cosine FROM q JOIN n ON true WHERE q.norm > 0 AND n.norm > 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS r FROM s) SELECT qid, vec_id, cosine FROM r WHERE r <= 3 AND cosine > 0.75"""
 
 

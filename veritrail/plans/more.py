@@ -198,25 +198,6 @@ def m5_evidence(d: Spark) -> str:
   SELECT source, place % 1000000000 AS doc_id, cast(r AS bigint) AS r FROM r WHERE r <= 6"""
 
 
-def n10_reader_fallback(d: Spark) -> str:
-    """The prior where the reader agrees with nobody, the guarded answer where it is bad, else the reader."""
-    same = lambda x: f"{t.normalized(d, 'first_word')} = {t.normalized(d, x)}"
-    return f"{_with(d, v.candidates(d))} SELECT qid, CASE WHEN {t.bad_evaluation(d, 'first_word')} OR {t.n_words(d, 'first_word')} > 8 THEN 'guarded' WHEN NOT ({same('second_word')} OR {same('last_word')} OR {same('lang')}) THEN 'prior' ELSE 'reader' END AS rule FROM wide"
-
-
-def n14_choices(d: Spark) -> str:
-    """A chosen label resolved to its candidate, unless confidence is too low or the choice is vetoed."""
-    rank = "CASE conf WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE -1 END"
-    return f"""{_with(d, v.candidates(d))}, k AS (SELECT qid, concat('C', cast(qid % 5 AS string)) AS label, CASE qid % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE '?' END AS conf, first_word, second_word, last_word FROM wide)
-  SELECT qid, CASE WHEN {rank} < 1 THEN first_word WHEN label = 'C1' AND second_word <> '' THEN second_word WHEN label = 'C2' AND last_word <> '' THEN last_word ELSE first_word END AS answer FROM k"""
-
-
-def n15_conflicts(d: Spark) -> str:
-    """Conflicts ranked by margin, support and type, less for mere aliases."""
-    return f"""{_with(d, v.candidates(d))}, s AS (SELECT qid, count(DISTINCT {t.normalized(d, "value")}) AS kinds, count(*) AS n, max(CASE WHEN contains(field, 'context') THEN 1 ELSE 0 END) AS ctx FROM candidates WHERE value <> '' GROUP BY qid)
-  SELECT qid, round(cast(kinds AS double) * 2 + n * 0.5 + ctx - CASE WHEN kinds = 1 THEN 3 ELSE 0 END, 4) AS rank_score FROM s"""
-
-
 def o2_counts(d: Spark) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS name, cast(count(*) AS bigint) AS n FROM {n}" for n in ("documents", "labels", "benchmark", "pages", "conversations"))
 
@@ -269,4 +250,4 @@ def t31_first_fit(d: Spark) -> str:
     return f"{_with(d, v.candidates(d))} SELECT qid, coalesce({first}, '') AS answer FROM wide"
 
 
-QUERIES = (k6_probe_states, k9_labels, k10_reviews, k12_variants, k13_sources, d4_surfaces, d9_conformance, d11_targets, d12_classes, e1_slice, e8_priorities, e13_seeded, f2_pairwise, f4_enriched, f11_endpoints, g25_same_ids, g27_missing, g28_cases, j9_graph_answers, j10_clean, j12_population, j13_names, j18_json, l5_directed, l16_gap_place, l19_statistics, l22_upserts, l25_recall, m4_queries, m5_evidence, n10_reader_fallback, n14_choices, n15_conflicts, o2_counts, o6_presence, q5_routes, t5_strict, t7_identifiers, t10_log, t15_joined, t18_labels, t30_shapes, t31_first_fit)
+QUERIES = (k6_probe_states, k9_labels, k10_reviews, k12_variants, k13_sources, d4_surfaces, d9_conformance, d11_targets, d12_classes, e1_slice, e8_priorities, e13_seeded, f2_pairwise, f4_enriched, f11_endpoints, g25_same_ids, g27_missing, g28_cases, j9_graph_answers, j10_clean, j12_population, j13_names, j18_json, l5_directed, l16_gap_place, l19_statistics, l22_upserts, l25_recall, m4_queries, m5_evidence, o2_counts, o6_presence, q5_routes, t5_strict, t7_identifiers, t10_log, t15_joined, t18_labels, t30_shapes, t31_first_fit)

@@ -135,13 +135,6 @@ def n9_meta_rules(d: Spark) -> str:
   WHEN conf = 'medium' AND src = 'guarded' THEN 'medium_guarded_or_judge' WHEN src = 'prior' AND NOT contains({q}, 'released first') THEN 'prior_not_released_first' ELSE 'baseline' END AS rule FROM k"""
 
 
-def n11_guarded(d: Spark) -> str:
-    """The judge where the current answer is bad or the prior agrees, unless it only shortens; the prior where all else is bad."""
-    norm = lambda x: t.normalized(d, x)
-    return f"""{_with(d, v.candidates(d))}, k AS (SELECT qid, opening AS cur, second_word AS judge, last_word AS prior, {norm("opening")} AS cn, {norm("second_word")} AS jn, {norm("last_word")} AS pn FROM wide)
-  SELECT qid, CASE WHEN {t.bad_evaluation(d, "judge")} AND {t.bad_evaluation(d, "cur")} THEN 'prior' WHEN {t.bad_evaluation(d, "cur")} THEN 'judge' WHEN jn = pn AND jn <> '' AND NOT (contains(cn, jn) AND length(jn) < length(cn)) THEN 'judge' ELSE 'current' END AS rule FROM k"""
-
-
 def n13_acceptance(d: Spark) -> str:
     """Acceptance of a quoted answer: grounded, of enough confidence, of the right shape, and changed."""
     return f"""{_with(d, v.pairs(d))}, k AS (SELECT qid, pred, gold, CASE qid % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS conf FROM pairs)
@@ -226,4 +219,4 @@ def t38_composite(d: Spark) -> str:
     return "WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) SELECT l_orderkey, l_partkey, l_quantity FROM r WHERE r = 1"
 
 
-QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, l7_seeds, l9_retrieval, l21_first_pairs, n7_v3_rules, n9_meta_rules, n11_guarded, n13_acceptance, o1_fingerprints, o5_selection, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t36_noise, t38_composite)
+QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, l7_seeds, l9_retrieval, l21_first_pairs, n7_v3_rules, n9_meta_rules, n13_acceptance, o1_fingerprints, o5_selection, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t36_noise, t38_composite)

@@ -230,12 +230,8 @@ def _bm25(d: Spark, queries: str, corpus: str, words) -> str:
 _ITEMS = "SELECT item_id AS pid, text AS body FROM benchmark"
 
 
-_ENGLISH = "lang = 'en'"
-
-
-def _asks(d: Spark, asked: str) -> str:
-    head = d.joined(d.slice(t.words(d, "text"), "1", "12"), " ")
-    return f"SELECT doc_id AS qid, {head} AS question FROM documents WHERE {asked}"
+#: Questions are user turns, whole; their number tells them apart.
+_ASKS = "SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user'"
 
 
 def _lowered(d: Spark):
@@ -246,28 +242,28 @@ def _alnum(d: Spark):
     return lambda x: d.all(f"lower({x})", "[a-z0-9]+")
 
 
-def m1_bm25_topk(d: Spark, asked: str = _ENGLISH) -> str:
+def m1_bm25_topk(d: Spark) -> str:
     """The five best passages of a positive score for each question."""
-    return f"""{_with(d, _bm25(d, _asks(d, asked), _ITEMS, _lowered(d)))}, ranked AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores WHERE score > 0)
+    return f"""{_with(d, _bm25(d, _ASKS, _ITEMS, _lowered(d)))}, ranked AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores WHERE score > 0)
   SELECT qid, pid, score, cast(r AS bigint) AS r FROM ranked WHERE r <= 5"""
 
 
-def m2_bm25_alnum(d: Spark, asked: str = _ENGLISH) -> str:
+def m2_bm25_alnum(d: Spark) -> str:
     """The same over runs of letters and digits; the first hit is kept whatever its score."""
-    return f"""{_with(d, _bm25(d, _asks(d, asked), _ITEMS, _alnum(d)))}, ranked AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores)
+    return f"""{_with(d, _bm25(d, _ASKS, _ITEMS, _alnum(d)))}, ranked AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores)
   SELECT qid, pid, score, cast(r AS bigint) AS r FROM ranked WHERE r <= 8 AND (r = 1 OR score > 0)"""
 
 
-def e5_unseen(d: Spark, asked: str = _ENGLISH) -> str:
+def e5_unseen(d: Spark) -> str:
     """Top passages that a question hasn't seen before."""
-    return f"""{_with(d, _bm25(d, _asks(d, asked), _ITEMS, _lowered(d)))}, seen AS (SELECT qid, pid FROM scores WHERE (qid + pid) % 3 = 0),
+    return f"""{_with(d, _bm25(d, _ASKS, _ITEMS, _lowered(d)))}, seen AS (SELECT qid, pid FROM scores WHERE (qid + pid) % 3 = 0),
   fresh AS (SELECT s.* FROM scores s LEFT ANTI JOIN seen x ON s.qid = x.qid AND s.pid = x.pid), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM fresh)
   SELECT qid, pid, score FROM ranked WHERE r <= 5 AND (r = 1 OR score > 0)""".replace("LEFT ANTI JOIN" if d.name == "duck" else "\0", "ANTI JOIN")
 
 
-def e6_overfetch(d: Spark, asked: str = _ENGLISH) -> str:
+def e6_overfetch(d: Spark) -> str:
     """Rank four times as many, keep scores over a floor, then cut."""
-    return f"""{_with(d, _bm25(d, _asks(d, asked), _ITEMS, _lowered(d)))}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores),
+    return f"""{_with(d, _bm25(d, _ASKS, _ITEMS, _lowered(d)))}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores),
   kept AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY r) AS k FROM ranked WHERE r <= 20 AND score > 0.5) SELECT qid, pid, score FROM kept WHERE k <= 5"""
 
 
@@ -277,9 +273,9 @@ def e4_adaptive(d: Spark) -> str:
   SELECT doc_id, source, CASE WHEN n <= 10 THEN 'all' ELSE 'top' END AS why FROM p WHERE n <= 10 OR r <= 5"""
 
 
-def m3_overlap(d: Spark, asked: str = "doc_id % 10 = 0 OR lang = 'es'") -> str:
+def m3_overlap(d: Spark) -> str:
     """Shared terms of a question and a passage, three more for a candidate inside."""
-    return f"""WITH a AS (SELECT doc_id AS qid, {d.distinct(t.tokens(d, d.joined(d.slice(t.words(d, "text"), "1", "12"), " ")))} AS q, coalesce({d.at(t.words(d, "text"), 2)}, '') AS candidate FROM documents WHERE {asked}),
+    return f"""WITH asks AS ({_ASKS}), a AS (SELECT qid, {d.distinct(t.tokens(d, "question"))} AS q, coalesce({d.at(t.words(d, "question"), 2)}, '') AS candidate FROM asks),
   b AS (SELECT item_id, text, {d.distinct(t.tokens(d, "text"))} AS p FROM benchmark), terms AS (SELECT qid, candidate, term FROM a, {d.rows("q", "term")}), posts AS (SELECT item_id, term FROM b, {d.rows("p", "term")}),
   shared AS (SELECT qid, candidate, item_id, count(*) AS n FROM terms JOIN posts ON terms.term = posts.term GROUP BY qid, candidate, item_id)
   SELECT qid, s.item_id, cast(n + CASE WHEN candidate <> '' AND contains(b.text, candidate) THEN 3 ELSE 0 END AS bigint) AS score FROM shared s JOIN b ON s.item_id = b.item_id"""
@@ -328,5 +324,3 @@ def e14_first_distinct(d: Spark) -> str:
 
 
 QUERIES = (j1_normalized, j2_scores, j4_keys, d1_bad_answers, d5_minor_alias, d6_grounded, d7_quotes, d8_constraints, k1_question_types, k3_node_fits, c11_casts, c2_passages, c3_sentences, c5_titles, c7_file_ids, c8_fields, c15_unpivot, c16_lists, c14_flattened, c20_evidence, j11_options, j14_titles, j16_final_line, j17_steps, j19_triples, j20_paren_triples, j22_entities, j24_relations, j25_clean, n1_gate, n4_dual_path, n17_verification, m1_bm25_topk, m2_bm25_alnum, e5_unseen, e6_overfetch, e4_adaptive, m3_overlap, e7_budget, t17_numbered, e9_top_fraction, e11_balanced, e12_quota, e14_first_distinct)
-#: Of these, queries over all documents are registered too (queries.py).
-PARTIAL = (m1_bm25_topk, m2_bm25_alnum, e5_unseen, e6_overfetch, m3_overlap)

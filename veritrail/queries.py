@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritrail.functions.dialect import DUCK, SPARK
-from veritrail.plans import audit, fusion, graph, more, rounds, shapes, texts
+from veritrail.plans import audit, fusion, graph, more, rounds, selectors, shapes, texts
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -33,17 +33,6 @@ def planned(plan) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def of_all(plan):
-    """The plan with all documents as questions or entities."""
-
-    def whole(d) -> str:
-        return plan(d, "true")
-
-    whole.__name__, whole.__doc__ = f"{plan.__name__}_all", f"{plan.__doc__} Over all documents."
-    return whole
-
-
-PLANS = {p.__name__: p for module in (audit, texts, graph, fusion, more, shapes) for p in module.QUERIES}
-PLANS |= {f"{p.__name__}_all": of_all(p) for p in (*texts.PARTIAL, graph.f8_fuzzy)}
+PLANS = {p.__name__: p for module in (audit, texts, graph, fusion, more, shapes, selectors) for p in module.QUERIES}
 QUERIES = {name: planned(p) for name, p in PLANS.items()} | {f.__name__: f for f in rounds.QUERIES}
 SQL = {name: p(DUCK) for name, p in PLANS.items()} | rounds.SQL
