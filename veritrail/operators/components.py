@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, or in one of our own where that is unset."""
+    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset, in one of our own on a single machine, and an error on a cluster."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/veritrail-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = f"{tempfile.gettempdir()}/veritrail-checkpoints"
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -45,3 +50,19 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame
             break
         reached = cut(reached.unionByName(front))
     return reached
+
+
+def distances(sides: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+    """origin, node and hops (their distance) within hops edges of sources (origin); sides has each edge (x, y) in both directions.
+
+    sides is written once; a round joins its front alone, and what is reached is written by round. A hub's edges
+    are one side of a join whose hot keys Spark splits.
+    """
+    sides = cut(sides.distinct())
+    front = cut(sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("bigint").alias("hops")).distinct())
+    reached = front
+    for hop in range(1, hops + 1):
+        step = front.select("origin", F.col("node").alias("x")).join(sides, "x").select("origin", F.col("y").alias("node")).distinct()
+        front = cut(step.join(reached.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(hop).cast("bigint").alias("hops")))
+        reached = reached.unionByName(front)
+    return reached

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators.components import components, shortest_paths
+from veritrail.functions.dialect import DUCK, SPARK
+from veritrail.operators.components import components, distances, shortest_paths
 from veritrail.operators.reader import read
+from veritrail.plans import graph, retrieval
+from veritrail.plans import views as v
 
-_LARGE = "l_quantity = 50"
-
-
-def _order_parts(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(where)
-    return components(lines.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
-
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 def l14_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph of orders and parts that large lines link."""
-    return _order_parts(spark, sf_dir, _LARGE)
+    """Components of the whole graph of orders and parts; recursive SQL is too slow for it, so tests hold it against plain Python."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return components(lines.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
 
-def l14_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all lines; recursive SQL is too slow for it."""
-    return _order_parts(spark, sf_dir, "true")
+def reached(plan, hops: int):
+    """A plan over the view reached: nodes within hops edges of each region in the graph of all triples, found in rounds of joins."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text, sides = plan(SPARK), f"WITH {v.kg(SPARK)},{graph.UNDIRECTED} SELECT x, y FROM sides"
+        for name in TABLES:
+            if name in text + sides:
+                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        distances(spark.sql(sides), spark.sql(graph._REGIONS).select("origin"), hops).createOrReplaceTempView("reached")
+        return spark.sql(text)
 
-L14 = f"""WITH RECURSIVE e AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE {_LARGE}), s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-  r(node, reached) AS (SELECT x, x FROM s UNION SELECT r.node, s.y FROM r JOIN s ON s.x = r.reached) SELECT node, min(reached) AS component FROM r GROUP BY node"""
+    run.__name__, run.__doc__ = plan.__name__, plan.__doc__
+    return run
 
 
 def l15_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +39,15 @@ def l15_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
     up = nation.selectExpr("concat('region:', r_name) AS a", "concat('nation:', n_name) AS b")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("concat('nation:', n_name) AS a", "concat('customer:', cast(c_custkey AS string)) AS b")
-    found = shortest_paths(up.unionByName(customer), nation.selectExpr("concat('region:', r_name) AS origin").distinct(), 2)
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("concat('nation:', n_name) AS a", "concat('supplier:', cast(s_suppkey AS string)) AS b")
+    found = shortest_paths(up.unionByName(customer).unionByName(supplier), nation.selectExpr("concat('region:', r_name) AS origin").distinct(), 2)
     return found.select("origin", "node", F.col("distance").cast("bigint").alias("distance"), F.array_join("path", " > ").alias("path"))
 
 
 L15 = """WITH n AS (SELECT concat('region:', r_name) AS r, concat('nation:', n_name) AS n, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
   SELECT DISTINCT r AS origin, r AS node, cast(0 AS bigint) AS distance, r AS path FROM n UNION ALL SELECT r, n, 1, concat(r, ' > ', n) FROM n
-  UNION ALL SELECT r, concat('customer:', cast(c_custkey AS string)), 2, concat(r, ' > ', n, ' > ', 'customer:', cast(c_custkey AS string)) FROM n JOIN customer ON c_nationkey = n_nationkey"""
+  UNION ALL SELECT r, concat('customer:', cast(c_custkey AS string)), 2, concat(r, ' > ', n, ' > ', 'customer:', cast(c_custkey AS string)) FROM n JOIN customer ON c_nationkey = n_nationkey
+  UNION ALL SELECT r, concat('supplier:', cast(s_suppkey AS string)), 2, concat(r, ' > ', n, ' > ', 'supplier:', cast(s_suppkey AS string)) FROM n JOIN supplier ON s_nationkey = n_nationkey"""
 
 
 def q1_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +58,6 @@ def q1_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(asked.join(told, ["conv_id", "turn"], "left").select("conv_id", "turn", "question", "evidence")).select("conv_id", "turn", "answer", "confidence")
 
 
-QUERIES = (l14_components, l14_components_all, l15_paths, q1_reader)
-SQL = {"l14_components": L14, "l15_paths": L15}
+_REACHED = graph.REACHED | retrieval.REACHED
+QUERIES = (l14_components, l15_paths, q1_reader, *(reached(plan, hops) for plan, hops in _REACHED.items()))
+SQL = {"l15_paths": L15, "q1_reader": retrieval.q1_reader(DUCK)} | {plan.__name__: plan(DUCK) for plan in _REACHED}

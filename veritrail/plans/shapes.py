@@ -96,30 +96,6 @@ def k2_variants(d: Spark) -> str:
   contains({q}, ' or ') AND {d.rlike(q, '[0-9]')} AS disjunctive_fact FROM questions"""
 
 
-def l7_seeds(d: Spark) -> str:
-    """Seed nodes: heads and tails of the triples that score best for a question."""
-    from veritrail.plans.texts import _bm25
-
-    corpus = "SELECT row_number() OVER (ORDER BY h, r, t) AS pid, concat(replace(h, ':', ' '), ' ', replace(r, '_', ' '), ' ', replace(t, ':', ' ')) AS body, h, t FROM (SELECT DISTINCT h, r, t FROM triples WHERE r IN ('in_region', 'in_nation')) x"
-    asks = "SELECT r_regionkey AS qid, concat('supplier in region ', r_name) AS question FROM region"
-    words = lambda x: d.filter(d.split(f"lower({x})", r"\s+"), "w", "w <> ''")
-    return f"""{_with(d, v.kg(d), _bm25(d, asks, corpus, words))}, ranked AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM scores WHERE score > 0), top AS (SELECT qid, h, t FROM ranked JOIN corpus ON ranked.pid = corpus.pid WHERE r <= 20)
-  SELECT qid, h AS node FROM top UNION SELECT qid, t FROM top"""
-
-
-def l9_retrieval(d: Spark) -> str:
-    """Triples around seeds in order of distance, then of text; distinct, fifty at most."""
-    from veritrail.plans.graph import _REGIONS, UNDIRECTED, _distances
-
-    return f"""{_with(d, v.kg(d), UNDIRECTED)}, {_distances(d, _REGIONS, 1)}, near AS (SELECT origin, hops, concat(h, ' -- ', r, ' --> ', t) AS triple FROM triples JOIN reached ON node = t), f AS (SELECT origin, triple, min(hops) AS hops FROM near GROUP BY origin, triple),
-  k AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hops, triple) AS r FROM f) SELECT origin, triple, cast(r AS bigint) AS r FROM k WHERE r <= 50"""
-
-
-def l21_first_pairs(d: Spark) -> str:
-    """The first five disconnected pairs of each supplier's gap list."""
-    return """WITH p AS (SELECT n_nationkey AS a, r_regionkey AS b, row_number() OVER (PARTITION BY n_nationkey ORDER BY r_regionkey) AS k FROM nation JOIN region ON n_regionkey <> r_regionkey) SELECT a, b FROM p WHERE k <= 5"""
-
-
 def n7_v3_rules(d: Spark) -> str:
     """An alias of a country where the prior says so, a safe prior that is no mere alias, else the current answer."""
     near = f"abs({d.size('ct')} - {d.size('xt')}) <= 4 AND (contains(cn, xn) OR contains(xn, cn) OR {t.subset(d, 'ct', 'xt')} OR {t.subset(d, 'xt', 'ct')})"
@@ -146,11 +122,6 @@ def o1_fingerprints(d: Spark) -> str:
     return f"SELECT page_id, url, cast(length(html) AS bigint) AS size_, {d.sha('html')} AS sha256 FROM pages"
 
 
-def o5_selection(d: Spark) -> str:
-    """Rows whose selection contradicts their state, by dataset: what a verification reports."""
-    return f"{_with(d, v.audit(d))} SELECT dataset, cast(sum(CASE WHEN selected AND residual THEN 1 ELSE 0 END) AS bigint) AS selected_residual, cast(sum(CASE WHEN NOT selected AND complete THEN 1 ELSE 0 END) AS bigint) AS rejected_complete, cast(count(*) AS bigint) AS n FROM audit GROUP BY dataset HAVING count(*) > 0"
-
-
 def t2_ranges(d: Spark) -> str:
     """Starts and lengths of contiguous shards."""
     return "WITH n AS (SELECT count(*) AS total FROM conversations), s AS (SELECT r_regionkey AS shard FROM region) SELECT cast(shard AS bigint) AS shard, cast(floor(cast(shard * total AS double) / 5) AS bigint) AS start_, cast(floor(cast((shard + 1) * total AS double) / 5) - floor(cast(shard * total AS double) / 5) AS bigint) AS n FROM s JOIN n ON true"
@@ -209,14 +180,9 @@ def t32_quotes(d: Spark) -> str:
     return f"WITH s AS (SELECT doc_id, {d.at(t.words(d, 'text'), 9)} AS answer, {d.split('text', '[.]')} AS quotes FROM documents) SELECT doc_id, coalesce({d.at(d.filter('quotes', 'x', 'contains(x, coalesce(answer, ' + d.lit('') + '))'), 1)}, '') AS quote FROM s"
 
 
-def t36_noise(d: Spark) -> str:
-    """Distinct passages over all items; the five longest of each source, zero scores included."""
-    return f"WITH u AS (SELECT DISTINCT source, {d.sha('text')} AS k, length(text) % 100 AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, k) AS r FROM u) SELECT source, k, cast(score AS bigint) AS score FROM r WHERE r <= 5"
-
-
 def t38_composite(d: Spark) -> str:
     """Rows by a composite key, the last one staying."""
     return "WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) SELECT l_orderkey, l_partkey, l_quantity FROM r WHERE r = 1"
 
 
-QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, l7_seeds, l9_retrieval, l21_first_pairs, n7_v3_rules, n9_meta_rules, n13_acceptance, o1_fingerprints, o5_selection, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t36_noise, t38_composite)
+QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, n7_v3_rules, n9_meta_rules, n13_acceptance, o1_fingerprints, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t38_composite)

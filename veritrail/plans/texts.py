@@ -219,12 +219,12 @@ def n17_verification(d: Spark) -> str:
 def _bm25(d: Spark, queries: str, corpus: str, words) -> str:
     """Scores of (qid, pid): query terms count as often as they stand in the query."""
     return f"""corpus AS ({corpus}), asks AS ({queries}),
-  doc_terms AS (SELECT pid, term, cast(count(*) AS double) AS tf FROM corpus, {d.rows(words("body"), "term")} GROUP BY pid, term),
-  lengths AS (SELECT pid, sum(tf) AS dl FROM doc_terms GROUP BY pid), totals AS (SELECT cast(count(*) AS double) AS n FROM corpus), mean_length AS (SELECT sum(dl) / max(n) AS avgdl FROM lengths JOIN totals ON true),
+  worded AS (SELECT pid, w, cast({d.size("w")} AS double) AS dl FROM (SELECT pid, {words("body")} AS w FROM corpus) x), doc_terms AS (SELECT pid, term, dl, cast(count(*) AS double) AS tf FROM worded, {d.rows("w", "term")} GROUP BY pid, term, dl),
+  totals AS (SELECT cast(count(*) AS double) AS n, sum(dl) / count(*) AS avgdl FROM worded),
   raw_idf AS (SELECT term, ln(max(n) - count(*) + 0.5) - ln(count(*) + cast(0.5 AS double)) AS idf FROM doc_terms JOIN totals ON true GROUP BY term), mean_idf AS (SELECT avg(idf) AS m FROM raw_idf),
   idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM raw_idf JOIN mean_idf ON true),
   ask_terms AS (SELECT qid, term, cast(count(*) AS double) AS qtf FROM asks, {d.rows(words("question"), "term")} GROUP BY qid, term),
-  scores AS (SELECT a.qid, x.pid, round(sum(a.qtf * i.idf * x.tf * 2.5 / (x.tf + 1.5 * (0.25 + 0.75 * l.dl / avgdl))), 4) AS score FROM ask_terms a JOIN doc_terms x ON a.term = x.term JOIN idf i ON i.term = a.term JOIN lengths l ON l.pid = x.pid JOIN mean_length ON true GROUP BY a.qid, x.pid)"""
+  scores AS (SELECT a.qid, x.pid, round(sum(a.qtf * i.idf * x.tf * 2.5 / (x.tf + 1.5 * (0.25 + 0.75 * x.dl / avgdl))), 4) AS score FROM ask_terms a JOIN doc_terms x ON a.term = x.term JOIN idf i ON i.term = a.term JOIN totals ON true GROUP BY a.qid, x.pid)"""
 
 
 _ITEMS = "SELECT item_id AS pid, text AS body FROM benchmark"

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritrail.functions.dialect import DUCK, SPARK
-from veritrail.plans import audit, fusion, graph, more, rounds, selectors, shapes, texts
+from veritrail.plans import audit, fusion, graph, more, retrieval, rounds, selectors, shapes, texts
+from veritrail.plans.rounds import TABLES
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def tables(spark: SparkSession, sf_dir: str, text: str) -> None:
@@ -33,6 +33,6 @@ def planned(plan) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-PLANS = {p.__name__: p for module in (audit, texts, graph, fusion, more, shapes, selectors) for p in module.QUERIES}
+PLANS = {p.__name__: p for module in (audit, texts, graph, fusion, more, shapes, selectors, retrieval) for p in module.QUERIES}
 QUERIES = {name: planned(p) for name, p in PLANS.items()} | {f.__name__: f for f in rounds.QUERIES}
 SQL = {name: p(DUCK) for name, p in PLANS.items()} | rounds.SQL
