@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritrail.functions.dialect import DUCK, SPARK
 from veritrail.operators.components import components, distances, shortest_paths
 from veritrail.operators.reader import read
+from veritrail.operators.staged import ABLATIONS, MODES, run
 from veritrail.plans import graph, retrieval
 from veritrail.plans import views as v
 
@@ -58,6 +59,21 @@ def q1_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(asked.join(told, ["conv_id", "turn"], "left").select("conv_id", "turn", "question", "evidence")).select("conv_id", "turn", "answer", "confidence")
 
 
+def staged(mode: str, ablation: str):
+    """The staged program over all user turns: triples are those that the extractor reads from all documents, passages the assistant turns of a conversation."""
+
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+        triples = spark.sql(f"WITH {retrieval._extracted(SPARK)} SELECT DISTINCT h, r, t FROM extracted WHERE h <> t")
+        turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
+        told = turns.where("role = 'assistant'").select("conv_id", F.col("text").alias("passage"))
+        asked = turns.where("role = 'user'").select("qid", "conv_id", F.col("text").alias("question"))
+        return run(asked.select("qid", "question"), triples, asked.join(told, "conv_id").select("qid", "passage"), mode, ablation)
+
+    plan.__name__, plan.__doc__ = f"q4_{mode if ablation == 'none' else ablation}", staged.__doc__
+    return plan
+
+
 _REACHED = graph.REACHED | retrieval.REACHED
-QUERIES = (l14_components, l15_paths, q1_reader, *(reached(plan, hops) for plan, hops in _REACHED.items()))
+QUERIES = (l14_components, l15_paths, q1_reader, *(reached(plan, hops) for plan, hops in _REACHED.items()), *(staged(m, "none") for m in MODES), *(staged("full", a) for a in ABLATIONS[1:]))
 SQL = {"l15_paths": L15, "q1_reader": retrieval.q1_reader(DUCK)} | {plan.__name__: plan(DUCK) for plan in _REACHED}
