@@ -100,3 +100,75 @@ def test_streaming(spark, sf, tmp_path):
     assert got == want
     usage.append_log(usage.event_stream(spark, str(folder)), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "log")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.mark.parametrize(("question", "kind"), [("Are both of them", "yesno"), ("Which is older, X or Y?", "comparison"), ("What year was it?", "number_date"), ("Where is it?", "location"), ("The man who made it", "person"), ("What have they in common", "common"), ("Name it", "other")])
+def test_selector_question_kinds(spark, question, kind):
+    from veritrail.plans import selectors as s
+
+    assert value(spark, s.question_kind(d, "q"), q=question) == kind
+
+
+def test_selector_weighs_fields_and_sources(spark):
+    from veritrail.plans import selectors as s
+
+    weight = lambda source, field: value(spark, s.field_weight(d, "s", "f"), s=source, f=field)
+    assert weight("x_candidate_choice", "candidate_choice_answer") == 6.0
+    assert weight("x_contextual_prior_v2", "contextual_prior_v2") == 7.5
+    assert weight("x_evidence_reader", "candidate_reader_v1") == 3.5
+    assert weight("other", "answer") == 1.0
+
+
+def selected(spark, groups, current, **limits):
+    """n6_selector over given occurrences: the rows of one question in place of the turns' own."""
+    from veritrail.plans import selectors as s
+
+    rows = [("1", i, *g) for i, g in enumerate(groups)]
+    spark.createDataFrame(rows, "qid string, pos int, source string, field string, value string").createOrReplaceTempView("given_occurrences")
+    spark.createDataFrame([("1", "Name it", current)], "qid string, question string, first string").createOrReplaceTempView("given_turns")
+    text = s.n6_selector(d, **limits)
+    a, b = text.index("asked AS ("), text.index("kept AS (")
+    text = text[:a] + "turns AS (SELECT * FROM given_turns), occurrences AS (SELECT * FROM given_occurrences), " + text[b:]
+    return spark.sql(text).first()
+
+
+def test_selector_compares_with_the_current_answer_and_ten(spark):
+    rivals = [("a_candidate_choice", "candidate_choice_answer", "Paris"), ("b_contextual_prior_v2", "contextual_prior_v2", "paris."), ("c_evidence_reader", "candidate_context", "Paris")]
+    # Weights 6 + 7.5 + 6, three occurrences 2.4, three kinds 4.5, prior field 3, context field 2, choice 2, prior 1.
+    got = selected(spark, rivals, "London", min_score=12.0, min_margin=24.4, min_occurrences=3)
+    assert (got["candidate_score"], got["current_score"], got["answer"], got["rule"], got["occurrences"]) == (34.4, 10.0, "Paris", "conflict_other", 3)
+    # The margin is over the current score and ten: a tenth more is too much, as are four occurrences.
+    assert selected(spark, rivals, "London", min_score=12.0, min_margin=24.5, min_occurrences=3)["answer"] == "London"
+    assert selected(spark, rivals, "London", min_score=12.0, min_margin=1.0, min_occurrences=4)["rule"] == "current"
+    # The current answer's own occurrences count for it.
+    own = [("d_evidence_reader", "candidate_context", "London")]
+    assert selected(spark, rivals + own, "London", min_score=12.0, min_margin=1.0, min_occurrences=3)["current_score"] == 10 + 6 + 0.8 + 1.5 + 2
+    # A mere alias of the current answer doesn't replace it, nor does one without a field of the prior or context.
+    assert selected(spark, rivals, "Paris, France", min_score=0.0, min_margin=-99.0, min_occurrences=1)["rule"] == "current"
+    assert selected(spark, rivals[:1], "London", min_score=0.0, min_margin=-99.0, min_occurrences=1)["rule"] == "current"
+
+
+@pytest.mark.parametrize(("current", "candidate", "question", "want"), [
+    ("John Smith", "John Paul Smith", "Who made it?", True), ("John Smith", "John Paul Smith", "What is it?", False), ("Smith", "John Smith", "Who made it?", False), ("John Smith", "Friends of John Smith", "Who made it?", False),
+    ("J Smith", "Smith J Jones", "Who made it?", False), ("John Smith", "The John B Smith", "Who made it?", False),
+])
+def test_person_expansion(spark, current, candidate, question, want):
+    from veritrail.plans import selectors as s
+
+    assert value(spark, s.person_expansion(d, "c", "x", "q"), c=current, x=candidate, q=question) is want
+
+
+@pytest.mark.parametrize(("current", "candidate", "question", "want"), [("Baroque composers", "Baroque", "What genre is it?", True), ("steel industry", "steel", "What industry is it?", True), ("steel industry", "iron", "What industry is it?", False), ("Lost with Ann", "Lost", "Which television series is it?", True), ("a, b industry", "b", "What industry is it?", False)])
+def test_concise_forms(spark, current, candidate, question, want):
+    from veritrail.plans import selectors as s
+
+    assert value(spark, s.concise(d, "c", "x", "q"), c=current, x=candidate, q=question) is want
+
+
+def test_distances_in_rounds(spark):
+    from veritrail.operators.components import distances
+
+    edges = [(0, 1), (1, 2), (2, 3), (0, 4), (4, 3), (8, 9)]
+    sides = spark.createDataFrame(edges + [(b, a) for a, b in edges], "x long, y long")
+    got = {(r["origin"], r["node"]): r["hops"] for r in distances(sides, spark.createDataFrame([(0,), (9,)], "origin long"), 2).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 4): 1, (0, 2): 2, (0, 3): 2, (9, 9): 0, (9, 8): 1}

@@ -132,8 +132,12 @@ def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, glob: str) -> DataFrame:
-    """path, size and sha256 of files."""
-    return spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """name, length and sha256 of files. Spark's reader passes over empty ones, so these come from the list of files."""
+    whole = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    empty = [(s.getPath().getName(),) for s in found or () if s.isFile() and s.getLen() == 0]
+    return whole.unionByName(spark.createDataFrame(empty, "name string").select("name", F.lit(0).cast("long").alias("length"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
 
 
 def forbidden_fields(schema: T.DataType, names: set[str], prefix: str = "") -> list[str]:
