@@ -72,15 +72,19 @@ def g11_auc(d: Spark) -> str:
 
 
 def g12_triage(d: Spark) -> str:
-    return f"""{_with(d, v.audit(d), _signals(d))}, ranked AS (SELECT signal, em, row_number() OVER (PARTITION BY signal ORDER BY value DESC, cast(qid AS string) DESC) AS r, count(*) OVER (PARTITION BY signal) AS n FROM signals),
-  summed AS (SELECT signal, cast(sum(CASE WHEN r <= ceil(n * cast(0.2 AS double)) THEN 1 ELSE 0 END) AS bigint) AS top_n, sum(CASE WHEN r <= ceil(n * cast(0.2 AS double)) THEN 1 - em ELSE 0 END) AS top_errors, avg(1 - em) AS base FROM ranked GROUP BY signal)
+    """Errors among the fifth of the rows that a signal puts first, and how much more often they are wrong than all."""
+    # By value, then by the first figures of the id as text: no task sorts all rows of a signal.
+    ranked = v.placed("ranked", "signals", "k.value DESC, cast(k.qid AS string) DESC", "concat(lpad(cast(cast(round(value * 1000000) AS bigint) + 1000000000000 AS string), 14, '0'), ' ', substring(cast(qid AS string), 1, 3))", "bucket_ DESC", "signal")
+    return f"""{_with(d, v.audit(d), _signals(d), ranked)},
+  summed AS (SELECT signal, cast(sum(CASE WHEN pos <= ceil(total * cast(0.2 AS double)) THEN 1 ELSE 0 END) AS bigint) AS top_n, sum(CASE WHEN pos <= ceil(total * cast(0.2 AS double)) THEN 1 - em ELSE 0 END) AS top_errors, avg(1 - em) AS base FROM ranked GROUP BY signal)
   SELECT signal, top_n, cast(top_errors AS bigint) AS top_error_n, round(top_errors / top_n, 4) AS top_error_rate, round(coalesce(top_errors / top_n / nullif(base, 0), 0), 4) AS lift FROM summed"""
 
 
 def e10_prefixes(d: Spark) -> str:
+    """Metrics of the first rows, by how many; a size beyond the table has none."""
     sizes = " UNION ALL ".join(f"SELECT {n} AS size" for n in (50, 100, 200, 399, 1000))
-    return f"""{_with(d, v.audit(d))}, placed AS (SELECT *, row_number() OVER (ORDER BY qid) AS pos, count(*) OVER () AS total FROM audit), sizes AS ({sizes})
-  SELECT cast(size AS bigint) AS size, {METRICS}, {rate("complete")} AS complete_rate FROM placed JOIN sizes ON pos <= size AND total >= size GROUP BY size"""
+    return f"""{_with(d, v.audit(d))}, first AS (SELECT * FROM audit ORDER BY qid LIMIT 1000), placed AS (SELECT *, row_number() OVER (ORDER BY qid) AS pos FROM first), whole AS (SELECT count(*) AS total FROM audit), sizes AS ({sizes})
+  SELECT cast(size AS bigint) AS size, {METRICS}, {rate("complete")} AS complete_rate FROM placed JOIN whole ON true JOIN sizes ON pos <= size AND total >= size GROUP BY size"""
 
 
 def g13_conditional(d: Spark) -> str:
@@ -141,16 +145,21 @@ def g6_mcnemar(d: Spark) -> str:
 
 
 def g5_bootstrap(d: Spark) -> str:
-    """Resamples by an arithmetic generator that both engines share."""
+    """Percentile intervals of resampled means: each row enters a resample as often as a Poisson draw says, by an arithmetic generator that both engines share.
+
+    So no row moves: tasks sum their rows for each type and resample, and only sums are shuffled.
+    """
     reps, seed = 200, 12345
     series = "(SELECT explode(sequence(0L, {0} - 1)) AS rep)" if d.name == "spark" else "(SELECT range AS rep FROM range(0, {0}))"
-    return f"""{_with(d, v.audit(d))}, placed AS (SELECT type, em, f1, row_number() OVER (PARTITION BY type ORDER BY qid) - 1 AS pos, count(*) OVER (PARTITION BY type) AS n FROM audit),
-  draws AS (SELECT p.type, rep, cast((({seed} + rep * 7919 + pos * 104729 + rep * pos * 31 + pos * pos * 17) % 1000003) % n AS bigint) AS pick FROM placed p JOIN {series.format(reps)} r ON true),
-  means AS (SELECT w.type, rep, avg(x.em) AS em, avg(x.f1) AS f1 FROM draws w JOIN placed x ON x.type = w.type AND x.pos = w.pick GROUP BY w.type, rep),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY em) - 1 AS r_em, row_number() OVER (PARTITION BY type ORDER BY f1) - 1 AS r_f1 FROM means),
+    # Where the distribution function of Poisson(1) steps, in millionths.
+    steps = (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)
+    times = " + ".join(f"CASE WHEN draw >= {x} THEN 1 ELSE 0 END" for x in steps)
+    return f"""{_with(d, v.audit(d))}, keyed AS (SELECT type, em, f1, qid % 1000003 AS h FROM audit), drawn AS (SELECT type, em, f1, rep, ({seed} + (rep + 1) * 7919 + h * 104729 + (rep + 1) * h * 31 + h * h * 17 + (rep + 1) * (rep + 1) * 613) % 1000003 AS draw FROM keyed JOIN {series.format(reps)} r ON true),
+  counted AS (SELECT type, rep, em, f1, {times} AS n FROM drawn), means AS (SELECT type, rep, round(sum(n * em) / sum(n), 9) AS em, round(sum(n * f1) / sum(n), 9) AS f1 FROM counted GROUP BY type, rep HAVING sum(n) > 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY em) - 1 AS r_em, row_number() OVER (PARTITION BY type ORDER BY f1) - 1 AS r_f1, count(*) OVER (PARTITION BY type) AS reps FROM means),
   point AS (SELECT type, avg(em) AS em, avg(f1) AS f1 FROM audit GROUP BY type)
-  SELECT r.type, round(min(p.em), 4) AS em, round(max(CASE WHEN r_em = {int(0.025 * (reps - 1))} THEN r.em END), 4) AS em_low, round(max(CASE WHEN r_em = {int(0.975 * (reps - 1))} THEN r.em END), 4) AS em_high,
-  round(min(p.f1), 4) AS f1, round(max(CASE WHEN r_f1 = {int(0.025 * (reps - 1))} THEN r.f1 END), 4) AS f1_low, round(max(CASE WHEN r_f1 = {int(0.975 * (reps - 1))} THEN r.f1 END), 4) AS f1_high FROM ranked r JOIN point p ON r.type = p.type GROUP BY r.type"""
+  SELECT r.type, round(min(p.em), 4) AS em, round(max(CASE WHEN r_em = floor((reps - 1) * cast(0.025 AS double)) THEN r.em END), 4) AS em_low, round(max(CASE WHEN r_em = floor((reps - 1) * cast(0.975 AS double)) THEN r.em END), 4) AS em_high,
+  round(min(p.f1), 4) AS f1, round(max(CASE WHEN r_f1 = floor((reps - 1) * cast(0.025 AS double)) THEN r.f1 END), 4) AS f1_low, round(max(CASE WHEN r_f1 = floor((reps - 1) * cast(0.975 AS double)) THEN r.f1 END), 4) AS f1_high FROM ranked r JOIN point p ON r.type = p.type GROUP BY r.type"""
 
 
 def _reviews(d: Spark) -> str:

@@ -133,11 +133,13 @@ def h4_dedup(d: Spark) -> str:
 
 def t1_shards(d: Spark) -> str:
     """Round-robin and contiguous shards of rows in order."""
-    return "WITH k AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () AS n FROM conversations) SELECT conv_id, turn, cast(i % 4 AS bigint) AS round_robin, cast(floor(cast(i * 4 AS double) / n) AS bigint) AS range_shard FROM k"
+    k = v.placed("k", "conversations", "k.conv_id, k.turn", "floor(conv_id / 256)")
+    return f"WITH {k} SELECT conv_id, turn, cast((pos - 1) % 4 AS bigint) AS round_robin, cast(floor(cast((pos - 1) * 4 AS double) / total) AS bigint) AS range_shard FROM k"
 
 
 def t4_ordered_merge(d: Spark) -> str:
-    return f"{_with(d, v.questions(d))} SELECT q.qid, cast(row_number() OVER (ORDER BY q.conv_id, q.turn) AS bigint) AS pos, coalesce(a.text, '') AS answer FROM questions q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'"
+    ordered = v.placed("ordered", "questions", "k.conv_id, k.turn", "floor(conv_id / 256)")
+    return f"{_with(d, v.questions(d), ordered)} SELECT q.qid, pos, coalesce(a.text, '') AS answer FROM ordered q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'"
 
 
 def t6_bodies(d: Spark) -> str:

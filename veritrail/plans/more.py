@@ -71,16 +71,16 @@ def d12_classes(d: Spark) -> str:
 
 def e1_slice(d: Spark) -> str:
     """Rows 20 to 69 in input order."""
-    return "WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) SELECT doc_id, lang, cast(pos AS bigint) AS pos FROM p WHERE pos >= 20 AND pos < 70"
+    return "WITH f AS (SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 70), p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM f) SELECT doc_id, lang, cast(pos AS bigint) AS pos FROM p WHERE pos >= 20 AND pos < 70"
 
 
 def e8_priorities(d: Spark) -> str:
-    return f"{_with(d, v.audit(d))}, p AS (SELECT qid, CASE WHEN NOT selected THEN 0 WHEN residual THEN 1 WHEN NOT complete THEN 2 ELSE 3 END AS priority FROM audit), r AS (SELECT *, row_number() OVER (ORDER BY priority, qid) AS r FROM p) SELECT qid, cast(priority AS bigint) AS priority, cast(r AS bigint) AS r FROM r WHERE r <= 40"
+    return f"{_with(d, v.audit(d))}, p AS (SELECT qid, CASE WHEN NOT selected THEN 0 WHEN residual THEN 1 WHEN NOT complete THEN 2 ELSE 3 END AS priority FROM audit), f AS (SELECT * FROM p ORDER BY priority, qid LIMIT 40), r AS (SELECT *, row_number() OVER (ORDER BY priority, qid) AS r FROM f) SELECT qid, cast(priority AS bigint) AS priority, cast(r AS bigint) AS r FROM r WHERE r <= 40"
 
 
 def e13_seeded(d: Spark) -> str:
     """A seeded sample of 30 positions, in order of position."""
-    return "WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY (conv_id * 131 + turn * 7919 + 123) % 10007, conv_id, turn) AS r FROM conversations) SELECT conv_id, turn FROM r WHERE r <= 30"
+    return "WITH k AS (SELECT conv_id, turn, (conv_id * 131 + turn * 7919 + 123) % 10007 AS draw FROM conversations) SELECT conv_id, turn FROM (SELECT * FROM k ORDER BY draw, conv_id, turn LIMIT 30) x"
 
 
 def f2_pairwise(d: Spark) -> str:
@@ -101,7 +101,8 @@ def f11_endpoints(d: Spark) -> str:
 
 def g25_same_ids(d: Spark) -> str:
     """Ordered ids of two tables compared by place."""
-    return "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM labels) SELECT cast(count(a.doc_id) AS bigint) AS n_a, cast(count(b.doc_id) AS bigint) AS n_b, cast(sum(CASE WHEN a.doc_id = b.doc_id THEN 1 ELSE 0 END) AS bigint) AS same FROM a FULL OUTER JOIN b ON a.pos = b.pos"
+    a, b = (v.placed(n, t_, "k.doc_id", "floor(doc_id / 4096)") for n, t_ in (("a", "documents"), ("b", "labels")))
+    return f"WITH {a}, {b} SELECT cast(count(a.doc_id) AS bigint) AS n_a, cast(count(b.doc_id) AS bigint) AS n_b, cast(sum(CASE WHEN a.doc_id = b.doc_id THEN 1 ELSE 0 END) AS bigint) AS same FROM a FULL OUTER JOIN b ON a.pos = b.pos"
 
 
 def g27_missing(d: Spark) -> str:

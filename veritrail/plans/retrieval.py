@@ -44,7 +44,7 @@ def l21_first_pairs(d: Spark) -> str:
 
 def t36_noise(d: Spark) -> str:
     """The five best of all distinct passages for each question, those of no score included, which come in their order."""
-    return f"""{_with(d, _bm25(d, _ASKS, "SELECT min(item_id) AS pid, text AS body FROM benchmark WHERE text IS NOT NULL GROUP BY text", _alnum(d)))}, first AS (SELECT pid FROM (SELECT pid, row_number() OVER (ORDER BY pid) AS r FROM corpus) x WHERE r <= 10),
+    return f"""{_with(d, _bm25(d, _ASKS, "SELECT min(item_id) AS pid, text AS body FROM benchmark WHERE text IS NOT NULL GROUP BY text", _alnum(d)))}, first AS (SELECT pid FROM corpus ORDER BY pid LIMIT 10),
   rest AS (SELECT a.qid, f.pid FROM asks a JOIN first f ON true LEFT JOIN scores s ON s.qid = a.qid AND s.pid = f.pid AND s.score > 0 WHERE s.pid IS NULL),
   listed AS (SELECT qid, pid, score FROM scores WHERE score > 0 UNION ALL SELECT qid, pid, cast(0 AS double) FROM rest), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM listed) SELECT qid, pid, score, cast(r AS bigint) AS r FROM k WHERE r <= 5"""
 

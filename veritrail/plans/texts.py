@@ -294,8 +294,9 @@ def t17_numbered(d: Spark) -> str:
 
 
 def e9_top_fraction(d: Spark) -> str:
-    return f"""{_with(d, v.audit(d))}, r AS (SELECT qid, risk_score, row_number() OVER (ORDER BY risk_score DESC, cast(qid AS string) DESC) AS r, count(*) OVER () AS n FROM audit)
-  SELECT qid, cast(risk_score AS bigint) AS risk_score FROM r WHERE r <= ceil(n * cast(0.2 AS double))"""
+    """The fifth of the rows of the highest risk; of equal ones the higher id as text."""
+    r = v.placed("r", "audit", "k.risk_score DESC, cast(k.qid AS string) DESC", "concat(cast(risk_score AS string), ' ', substring(cast(qid AS string), 1, 3))", "bucket_ DESC")
+    return f"{_with(d, v.audit(d), r)} SELECT qid, cast(risk_score AS bigint) AS risk_score FROM r WHERE pos <= ceil(total * cast(0.2 AS double))"
 
 
 def e11_balanced(d: Spark) -> str:

@@ -67,3 +67,16 @@ def usage(d: Spark) -> str:
     tokens = d.number(d.group("props", '"k": *([0-9]+)', 1))
     return f"""
 usage AS (SELECT user_id AS qid, event_type AS mode, coalesce({tokens}, cast(0 AS double)) AS tokens, value AS wall_time, event_id % 4 = 0 AS cached, event_id FROM events)"""
+
+
+def placed(name: str, source: str, order: str, bucket: str, bucket_order: str = "bucket_", group: str = "") -> str:
+    """The table name: rows of source with pos, their place in order from 1 on, and total; in each group, if one is given.
+
+    No task sorts the whole table: rows are sorted within buckets, whose order is that of the rows, and a small
+    table of a row for each bucket says at which place it starts.
+    """
+    keys, per = (f"{group}, bucket_", f"PARTITION BY {group} ") if group else ("bucket_", "")
+    same = " AND ".join(f"k.{c.strip()} = s.{c.strip()}" for c in keys.split(","))
+    return f"""{name}_keyed AS (SELECT *, {bucket} AS bucket_ FROM {source}), {name}_sizes AS (SELECT {keys}, count(*) AS n_ FROM {name}_keyed GROUP BY {keys}),
+{name}_starts AS (SELECT {keys}, sum(n_) OVER ({per}ORDER BY {bucket_order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_ AS start_, sum(n_) OVER ({f"PARTITION BY {group}" if group else ""}) AS total FROM {name}_sizes),
+{name} AS (SELECT k.*, cast(s.start_ + row_number() OVER (PARTITION BY {", ".join("k." + c.strip() for c in keys.split(","))} ORDER BY {order}) AS bigint) AS pos, cast(s.total AS bigint) AS total FROM {name}_keyed k JOIN {name}_starts s ON {same})"""
