@@ -172,3 +172,24 @@ def test_distances_in_rounds(spark):
     sides = spark.createDataFrame(edges + [(b, a) for a, b in edges], "x long, y long")
     got = {(r["origin"], r["node"]): r["hops"] for r in distances(sides, spark.createDataFrame([(0,), (9,)], "origin long"), 2).collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (0, 4): 1, (0, 2): 2, (0, 3): 2, (9, 9): 0, (9, 8): 1}
+
+
+GATE = {
+    "question": "Who made it?", "kind": "person", "current": "Ann Lee", "proposed": "Bob Ray", "should_switch": True, "action": "switch", "conf": "high", "sufficient": True, "why": "it says so", "source": "reader_v1 support",
+    "quote_1": "It was made by Bob Ray in 1999.", "quote_2": "Bob Ray was then thirty years old.", "passage": "It was made by Bob Ray in 1999. Bob Ray was then thirty years old.", "known": True, "before": "accepted",
+}
+
+
+@pytest.mark.parametrize(("gate", "change", "want"), [
+    *((g, {}, "accepted") for g in ("type_aware", "two_stage", "strict_quote", "kg_challenger", "focused_passage", "conservative", "conservative_v2", "strict_quote_v2")),
+    ("type_aware", {"proposed": "the Ann Lee."}, "same_as_current"), ("type_aware", {"proposed": "unknown", "should_switch": False}, "bad_surface"), ("type_aware", {"should_switch": False, "conf": "low"}, "should_switch_false"), ("type_aware", {"conf": "low"}, "low_confidence"),
+    ("type_aware", {"kind": "yesno"}, "yesno_not_binary"), ("type_aware", {"kind": "number_date"}, "number_date_without_number"), ("type_aware", {"kind": "number_date", "proposed": "in May", "passage": "it was in May"}, "accepted"), ("type_aware", {"proposed": "Tim Orr"}, "not_grounded"),
+    ("two_stage", {"sufficient": False, "proposed": "Ann Lee"}, "locator_insufficient"), ("two_stage", {"question": 'Who made "The Sea"?'}, "missing_quoted_constraint"), ("strict_quote", {"conf": "medium"}, "not_high_confidence"), ("strict_quote", {"quote_2": "Nobody has said these words."}, "quote_not_verbatim"),
+    ("strict_quote", {"proposed": "Tim Orr"}, "answer_not_quote_grounded"), ("kg_challenger", {"action": "keep"}, "action_not_switch"), ("kg_challenger", {"why": "Keep current."}, "reason_keeps_current"), ("kg_challenger", {"known": False}, "not_kg_candidate"),
+    ("focused_passage", {"kind": "location", "proposed": "Ray University", "passage": "at Ray University"}, "location_org_like"), ("conservative", {"known": False}, "not_candidate"), ("conservative_v2", {"source": "reader_v1"}, "reader_only_source"),
+    ("conservative_v2", {"question": "Where is it?", "current": "York, a city"}, "location_type_mismatch"), ("strict_quote_v2", {"before": "bad_surface"}, "bad_surface"), ("strict_quote_v2", {"question": "Which film is it?"}, "film_type_mismatch"),
+])
+def test_acceptance_gates(spark, gate, change, want):
+    from veritrail.plans import selectors as s
+
+    assert value(spark, s.gate_reason(s.gates(d)[gate]), **(GATE | change)) == want

@@ -143,6 +143,16 @@ def n15_conflicts(d: Spark) -> str:
   FROM turns q LEFT JOIN cur k ON q.qid = k.qid LEFT JOIN best c ON q.qid = c.qid AND c.r = 1"""
 
 
+def n7_v3_rules(d: Spark) -> str:
+    """A country's short name where any of three priors says so, the chosen candidate where the prior was taken as safe and it is no mere alias, else the current answer."""
+    norm = lambda x: t.normalized(d, x)
+    china = f"contains(lower(question), 'country') AND {norm('current')} = 'peoples republic of china' AND ({norm('prior')} = 'china' OR {norm('guarded')} = 'china' OR {norm('choice')} = 'china')"
+    safe = f"selected_rule = 'source_calibrated_contextual_prior_safe' AND candidate <> '' AND {norm('candidate')} <> {norm('current')} AND NOT {bad_surface(d, 'candidate')} AND NOT {minor_alias(d, 'current', 'candidate', 'false')}"
+    return f"""WITH {turns(d)}, k AS (SELECT qid, CASE WHEN conv_id % 3 = 0 THEN concat('Which country is it? ', question) ELSE question END AS question, CASE WHEN turn % 4 = 0 THEN concat('People', chr(39), 's Republic of China') ELSE first END AS current, CASE WHEN conv_id % 2 = 0 THEN 'China.' ELSE third END AS prior, second AS guarded,
+    CASE WHEN conv_id % 5 = 0 THEN 'the China' ELSE last END AS choice, CASE WHEN conv_id % 4 < 2 THEN 'source_calibrated_contextual_prior_safe' ELSE 'baseline' END AS selected_rule, CASE conv_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'unknown' WHEN 2 THEN two ELSE next END AS candidate FROM turns)
+  SELECT qid, CASE WHEN {china} THEN 'China' WHEN {safe} THEN candidate ELSE current END AS answer, CASE WHEN {china} THEN 'country_china_alias' WHEN {safe} THEN 'prior_safe_to_choice' ELSE 'current' END AS rule FROM k"""
+
+
 def short_answer(d: Spark, x: str) -> str:
     low = f"lower({x})"
     return f"({x} <> '' AND {d.size(t.tokens(d, x))} <= 8 AND length({x}) < 100 AND NOT {t.has_any(d, low, LONG_MARKS)})"
@@ -221,4 +231,91 @@ def n14_choices(d: Spark) -> str:
   SELECT qid, reason, CASE WHEN reason = 'accepted' THEN selected ELSE first END AS answer FROM r"""
 
 
-QUERIES = (n6_selector, n9_meta_v2, n10_reader_fallback, n11_guarded, n14_choices, n15_conflicts)
+# Months and number words that count as numbers, and what keeps the current answer.
+MONTHS = "(january|february|march|april|may|june|july|august|september|october|november|december)"
+NUMBER_WORDS = "(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million)"
+KEEPING = ("current answer is correct", "current is correct", "keep current", "current already")
+PLACES = ("city", "county", "state", "province", "country", "region")
+BEARINGS = ("united", "south", "north", "east", "west")
+
+
+def compacted(d: Spark, x: str) -> str:
+    return d.rep(f"lower(coalesce({x}, ''))", "[^a-z0-9]+")
+
+
+def kind_reason(d: Spark, kind: str, question: str, answer: str) -> str:
+    """Why an answer isn't of the kind that its question asks for; null if it is."""
+    q, norm, low = f"lower({question})", t.normalized(d, answer), f"lower({answer})"
+    word = lambda p: d.rlike(low, f"(^|[^a-z0-9]){p}($|[^a-z0-9])")
+    return (
+        f"CASE WHEN {kind} = 'yesno' AND {norm} NOT IN ('yes', 'no') THEN 'yesno_not_binary' WHEN {d.starts(q, d.lit('how many'))} AND {d.rlike(f'trim({answer})', '^(1[0-9]{3}|20[0-9]{2})$')} THEN 'how_many_year' "
+        f"WHEN contains({q}, 'which president') AND NOT {d.rlike(low, '(^|[^a-z0-9])[0-9]{1,2}(st|nd|rd|th)($|[^a-z0-9])')} THEN 'president_without_ordinal' WHEN {kind} = 'number_date' AND NOT ({d.rlike(answer, '[0-9]')} OR {word(MONTHS)} OR {word(NUMBER_WORDS)}) THEN 'number_date_without_number' "
+        f"WHEN {kind} = 'location' AND {d.rlike(answer, '(^|[^A-Za-z])(University|Airline|Company|Corporation|Inc|Ltd)($|[^A-Za-z])')} THEN 'location_org_like' END"
+    )
+
+
+def in_quotes(d: Spark, answer: str, quotes: str, question: str, kind: str) -> str:
+    """Whether quotes hold an answer: whole, or its tokens (all of at most two, else three of four); a comparison's may stand in the question."""
+    norm, held, tokens = t.normalized(d, answer), t.normalized(d, quotes), t.tokens(d, answer)
+    met, n = d.size(d.filter(tokens, "y", f"contains({held}, y)")), d.size(tokens)
+    return f"({norm} <> '' AND (contains({held}, {norm}) OR ({kind} = 'comparison' AND contains({t.normalized(d, question)}, {norm})) OR {met} >= CASE WHEN {n} <= 2 THEN cast({n} AS double) ELSE cast(0.75 AS double) * {n} END))"
+
+
+def quoted(d: Spark, quote: str, passage: str) -> str:
+    """Whether a quote of at least 16 compact characters stands in the passage."""
+    return f"(length({compacted(d, quote)}) >= 16 AND contains({compacted(d, passage)}, {compacted(d, quote)}))"
+
+
+def place_mismatch(d: Spark, question: str, proposed: str, current: str) -> str:
+    """A place is asked for, the current answer looks like one, and the proposed one doesn't."""
+    asks, low = t.has_any(d, f"lower({question})", ("where", "what city", "what country", "what region", "headquartered", "located")), f"lower({proposed})"
+    return f"({asks} AND NOT {bad_surface(d, current)} AND NOT {t.has_any(d, low, PLACES)} AND NOT contains({proposed}, ',') AND NOT {t.has_any(d, low, BEARINGS)} AND (contains({current}, ',') OR {t.has_any(d, f'lower({current})', PLACES)}) AND {d.size(t.tokens(d, proposed))} <= 4)"
+
+
+def gates(d: Spark) -> dict[str, list[tuple[str, str]]]:
+    """The eight acceptance gates, each a list of what fails an answer and its reason, in order.
+
+    They read question, kind, current, proposed, should_switch, action, conf, sufficient, why, source, quote_1, quote_2, passage, known (is a candidate) and before (an earlier gate's reason).
+    """
+    same, bad = f"{t.normalized(d, 'proposed')} = {t.normalized(d, 'current')}", bad_surface(d, "proposed")
+    rank = "CASE conf WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END"
+    off_kind, held = kind_reason(d, "kind", "question", "proposed"), in_quotes(d, "proposed", "passage", "question", "kind")
+    verbatim = f"NOT ({quoted(d, 'quote_1', 'passage')} AND {quoted(d, 'quote_2', 'passage')})"
+    spans = d.all("question", '"([^"]{3,80})"', 1)
+    uncovered = f"{d.size(d.filter(spans, 's', 'NOT contains(lower(passage), lower(s))'))} > 0"
+    keeps = t.has_any(d, "lower(why)", KEEPING)
+    one = f"CASE WHEN contains({t.normalized(d, 'quote_1')}, {t.normalized(d, 'proposed')}) THEN quote_1 WHEN contains({t.normalized(d, 'quote_2')}, {t.normalized(d, 'proposed')}) THEN quote_2 ELSE '' END"
+    org = d.rlike("proposed", r"^([Tt]he )?[A-Z][A-Za-z0-9 .'-]+( University| Airline| Airport| Company| Corporation)$")
+    start = [(same, "'same_as_current'")]
+    high, switch, action = ("conf <> 'high'", "'not_high_confidence'"), ("NOT should_switch", "'should_switch_false'"), ("action <> 'switch'", "'action_not_switch'")
+    return {
+        "type_aware": [*start, (bad, "'bad_surface'"), switch, (f"{rank} < 2", "'low_confidence'"), (f"{off_kind} IS NOT NULL", off_kind), (f"NOT {held}", "'not_grounded'")],
+        "two_stage": [("NOT sufficient", "'locator_insufficient'"), (uncovered, "'missing_quoted_constraint'"), *start, (bad, "'bad_surface'"), switch, (f"{rank} < 2", "'low_confidence'"), (f"{off_kind} IS NOT NULL", off_kind), (f"NOT {held}", "'not_grounded'")],
+        "strict_quote": [*start, high, switch, (bad, "'bad_surface'"), (verbatim, "'quote_not_verbatim'"), (f"NOT {in_quotes(d, 'proposed', 'concat(quote_1, chr(32), quote_2)', 'question', 'kind')}", "'answer_not_quote_grounded'"), (f"kind = 'comparison' AND NOT contains({t.normalized(d, 'question')}, {t.normalized(d, 'proposed')}) AND {t.normalized(d, 'proposed')} NOT IN ('yes', 'no')", "'comparison_not_option'")],
+        "kg_challenger": [*start, action, high, (keeps, "'reason_keeps_current'"), (bad, "'bad_surface'"), ("NOT known", "'not_kg_candidate'"), (verbatim, "'quote_not_verbatim'")],
+        "focused_passage": [*start, high, switch, (bad, "'bad_surface'"), (f"kind = 'location' AND {org}", "'location_org_like'"), (f"NOT {held}", "'not_grounded'")],
+        "conservative": [*start, action, high, (bad, "'bad_surface'"), ("NOT known", "'not_candidate'")],
+        "conservative_v2": [*start, action, high, (bad, "'bad_surface'"), ("contains(source, 'reader_v1') AND NOT contains(source, 'support')", "'reader_only_source'"), (place_mismatch(d, "question", "proposed", "current"), "'location_type_mismatch'")],
+        "strict_quote_v2": [("before <> 'accepted'", "before"), *start, (keeps, "'reason_keeps_current'"), (f"contains(lower(question), 'which film') AND {one} <> '' AND NOT contains(lower({one}), 'film')", "'film_type_mismatch'")],
+    }
+
+
+def gate_reason(rules: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {reason}" for test, reason in rules) + " ELSE 'accepted' END"
+
+
+def n13_acceptance(d: Spark) -> str:
+    """What each of the eight gates says to a proposed answer: the first reason against it, or accepted."""
+    found = gates(d)
+    last = found.pop("strict_quote_v2")
+    reasons = ", ".join(f"{gate_reason(rules)} AS {name}" for name, rules in found.items())
+    return f"""WITH {turns(d)}, told_text AS (SELECT conv_id, turn - 1 AS turn, text AS passage FROM conversations WHERE role = 'assistant'),
+  k AS (SELECT q.qid, concat(CASE q.conv_id % 11 WHEN 0 THEN 'Which film is it? ' WHEN 1 THEN concat('Who said "', second, ' ', third, '"? ') WHEN 2 THEN 'How many are there? ' ELSE '' END, question) AS question, CASE WHEN q.conv_id % 5 = 0 THEN concat(first, ', a city') ELSE first END AS current,
+    CASE (q.conv_id + q.turn) % 7 WHEN 0 THEN first WHEN 1 THEN 'unknown' WHEN 2 THEN '1999' WHEN 3 THEN concat(second, ' University') WHEN 4 THEN verdict ELSE next END AS proposed, q.turn % 8 <> 2 AS should_switch, CASE WHEN q.conv_id % 6 = 5 THEN 'keep' ELSE 'switch' END AS action,
+    CASE WHEN q.conv_id % 4 = 1 THEN 'medium' WHEN q.turn % 10 = 6 THEN 'low' ELSE 'high' END AS conf, q.conv_id % 10 <> 3 AS sufficient, CASE WHEN q.conv_id % 9 = 4 THEN 'Current is correct.' ELSE 'it says so' END AS why, CASE WHEN q.conv_id % 8 = 7 THEN 'reader_v1' ELSE 'reader_v1 support_fallback' END AS source,
+    coalesce(substring(p.passage, 1, 60), '') AS quote_1, CASE WHEN q.conv_id % 7 = 6 THEN 'words that nobody said here' ELSE coalesce(substring(p.passage, 5, 50), '') END AS quote_2, coalesce(p.passage, '') AS passage, (q.conv_id + q.turn) % 7 <> 4 AS known
+    FROM turns q LEFT JOIN told_text p ON q.conv_id = p.conv_id AND q.turn = p.turn), kinds AS (SELECT *, {question_kind(d, "question")} AS kind FROM k),
+  judged AS (SELECT *, {reasons} FROM kinds), final AS (SELECT *, strict_quote AS before FROM judged) SELECT qid, {", ".join(found)}, {gate_reason(last)} AS strict_quote_v2 FROM final"""
+
+
+QUERIES = (n6_selector, n7_v3_rules, n9_meta_v2, n10_reader_fallback, n11_guarded, n13_acceptance, n14_choices, n15_conflicts)

@@ -96,13 +96,6 @@ def k2_variants(d: Spark) -> str:
   contains({q}, ' or ') AND {d.rlike(q, '[0-9]')} AS disjunctive_fact FROM questions"""
 
 
-def n7_v3_rules(d: Spark) -> str:
-    """An alias of a country where the prior says so, a safe prior that is no mere alias, else the current answer."""
-    near = f"abs({d.size('ct')} - {d.size('xt')}) <= 4 AND (contains(cn, xn) OR contains(xn, cn) OR {t.subset(d, 'ct', 'xt')} OR {t.subset(d, 'xt', 'ct')})"
-    return f"""{_with(d, v.candidates(d))}, k AS (SELECT qid, opening AS cur, second_word AS x, qid % 3 = 0 AS safe, {t.normalized(d, "opening")} AS cn, {t.normalized(d, "second_word")} AS xn, {t.tokens(d, "opening")} AS ct, {t.tokens(d, "second_word")} AS xt FROM wide)
-  SELECT qid, CASE WHEN cn = 'peoples republic of china' AND xn = 'china' THEN 'country_china_alias' WHEN safe AND xn <> '' AND xn <> cn AND NOT {t.bad_evaluation(d, "x")} AND NOT ({near}) THEN 'prior_safe' ELSE 'current' END AS rule FROM k"""
-
-
 def n9_meta_rules(d: Spark) -> str:
     """Ordered rules over the chosen source, its confidence and the question."""
     q = "lower(question)"
@@ -111,12 +104,6 @@ def n9_meta_rules(d: Spark) -> str:
   WHEN conf = 'medium' AND src = 'guarded' THEN 'medium_guarded_or_judge' WHEN src = 'prior' AND NOT contains({q}, 'released first') THEN 'prior_not_released_first' ELSE 'baseline' END AS rule FROM k"""
 
 
-def n13_acceptance(d: Spark) -> str:
-    """Acceptance of a quoted answer: grounded, of enough confidence, of the right shape, and changed."""
-    return f"""{_with(d, v.pairs(d))}, k AS (SELECT qid, pred, gold, CASE qid % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS conf FROM pairs)
-  SELECT qid, CASE WHEN {t.normalized(d, "pred")} = '' THEN 'empty' WHEN conf = 'low' THEN 'low_confidence' WHEN {t.normalized(d, "pred")} = {t.normalized(d, "gold")} THEN 'unchanged' WHEN NOT contains({t.normalized(d, "gold")}, {t.normalized(d, "pred")}) THEN 'not_grounded' WHEN {d.size(t.tokens(d, "pred"))} > 8 THEN 'too_long' ELSE 'accepted' END AS reason FROM k"""
-
-
 def o1_fingerprints(d: Spark) -> str:
     """Size and content hash of each stored page."""
     return f"SELECT page_id, url, cast(length(html) AS bigint) AS size_, {d.sha('html')} AS sha256 FROM pages"
@@ -185,4 +172,4 @@ def t38_composite(d: Spark) -> str:
     return "WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) SELECT l_orderkey, l_partkey, l_quantity FROM r WHERE r = 1"
 
 
-QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, n7_v3_rules, n9_meta_rules, n13_acceptance, o1_fingerprints, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t38_composite)
+QUERIES = (c1_ids, c4_contexts, c6_compositions, c13_histories, c17_chunks, d10_mismatches, g4_files, h5_steps, j15_canonical, j21_expansions, j23_spans, k2_variants, n9_meta_rules, o1_fingerprints, t2_ranges, t13_punctuated, t16_subset, t19_indexes, t20_picked, t21_vectors, t22_tagged, t23_kg_fields, t27_sources, t28_members, t32_quotes, t38_composite)
