@@ -17,6 +17,7 @@ BAD_SURFACES = (
 BAD_FALLBACKS = ("insufficient", "none", "cannot", "not enough", "no information", "nothing", "neither", "no triple", "not specified", "unknown")
 YESNO = ("are ", "were ", "do ", "did ", "does ", "is ", "was ", "has ", "have ", "had ", "can ")
 COMPARISON = ("born first", "born later", "older", "younger", "newer", "released first", "came out first", "appeared first", "closer", "nearer", "more ", "larger", "bigger", "which one", "between the two")
+DIRECTIONS = ("further north", "further south", "further east", "further west", "farther north", "farther south", "farther east", "farther west")
 NUMBER_DATE = ("what year", "how many", "when was", "when did", "period", "date", "population", "number")
 LOCATION = ("what city", "what country", "what region", "located", "headquartered")
 PERSON = ("who", "which author", "which composer", "which actress", "which actor", "which musician", "which player", "which american musician", "which american actress", "which american businessman", "the player who")
@@ -30,20 +31,21 @@ PROCEDURAL = ("instructions require", "using *only*", "given triples", "triples"
 ABSENCE = ("no evidence", "not enough evidence", "none of the evidence", "does not mention", "do not mention", "doesn't mention", "no passage mentions", "no passage states", "absence of", "ambiguous", "cannot determine", "not provided", "not specified")
 
 
-def question_kind(d: Spark, q: str) -> str:
-    """The class of a question by which a selector scores answers."""
+def question_kind(d: Spark, q: str, conflict: bool = False) -> str:
+    """The class of a question by which a selector scores answers; conflict: comparisons go before yes and no, and there are more of them."""
     low = f"trim(lower(coalesce({q}, '')))"
+    first = [f"WHEN {t.starts_any(d, low, YESNO)} THEN 'yesno'", f"WHEN {t.has_any(d, low, COMPARISON + (DIRECTIONS if conflict else ()))} THEN 'comparison'"]
     return (
-        f"CASE WHEN {t.starts_any(d, low, YESNO)} THEN 'yesno' WHEN {t.has_any(d, low, COMPARISON)} THEN 'comparison' WHEN {t.has_any(d, low, NUMBER_DATE)} THEN 'number_date' "
+        f"CASE {' '.join(first[::-1] if conflict else first)} WHEN {t.has_any(d, low, NUMBER_DATE)} THEN 'number_date' "
         f"WHEN {d.starts(low, d.lit('where'))} OR {t.has_any(d, low, LOCATION)} THEN 'location' WHEN {d.starts(low, d.lit('who'))} OR contains(substring({low}, 1, 160), ' who ') THEN 'person' "
         f"WHEN contains(concat(' ', {low}, ' '), ' both ') OR contains({low}, ' in common') OR contains({low}, 'same ') THEN 'common' ELSE 'other' END"
     )
 
 
-def bad_surface(d: Spark, x: str) -> str:
-    """Text that can't be an answer: empty, over twelve tokens or 180 characters, or of a form."""
+def bad_surface(d: Spark, x: str, tokens: int = 12, characters: int = 180) -> str:
+    """Text that can't be an answer: empty, over so many tokens or characters, or of a form."""
     low = f"trim(lower(coalesce({x}, '')))"
-    return f"({t.normalized(d, x)} = '' OR {d.size(t.tokens(d, x))} > 12 OR length({low}) > 180 OR {t.starts_any(d, low, ('{', '- '))} OR {t.has_any(d, low, BAD_SURFACES)})"
+    return f"({t.normalized(d, x)} = '' OR {d.size(t.tokens(d, x))} > {tokens} OR length({low}) > {characters} OR {t.starts_any(d, low, ('{', '- '))} OR {t.has_any(d, low, BAD_SURFACES)})"
 
 
 def bad_fallback(d: Spark, x: str) -> str:
@@ -62,11 +64,13 @@ def source_kind(d: Spark, source: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({source}, '{m}') THEN '{k}'" for m, k in SOURCE_KINDS) + " ELSE 'other' END"
 
 
-def field_weight(d: Spark, source: str, field: str) -> str:
+def field_weight(d: Spark, source: str, field: str, conflict: bool = False) -> str:
+    """Weight of a field with its source's bonus; conflict: with the weights of graph fields and plain answers."""
     low = f"lower({field})"
+    plain = f"WHEN {t.has_any(d, low, ('candidate_kg', '|kg'))} OR {low} = 'kg' THEN cast(1.2 AS double) WHEN {t.one_of(d, low, ('answer', 'prediction', 'baseline_answer'))} THEN cast(0.8 AS double)" if conflict else ""
     weights = " ".join(f"WHEN {t.has_any(d, low, marks)} THEN cast({w} AS double)" for marks, w in FIELD_WEIGHTS)
     kinds = " ".join(f"WHEN '{k}' THEN cast({b} AS double)" for k, b in KIND_BONUS)
-    return f"((CASE {weights} ELSE cast(1 AS double) END) + CASE {source_kind(d, source)} {kinds} ELSE cast(0 AS double) END)"
+    return f"((CASE {weights} {plain} ELSE cast(1 AS double) END) + CASE {source_kind(d, source)} {kinds} ELSE cast(0 AS double) END)"
 
 
 def group_score(d: Spark, answer: str, who: str, conflict: bool = False) -> str:
@@ -106,16 +110,17 @@ _OCCURRENCES = (
 )
 
 
-def _groups(d: Spark) -> str:
+def _groups(d: Spark, conflict: bool = False) -> str:
     """Candidate groups of each turn, its current answer (the first word) and what scores need."""
+    limits = (14, 220) if conflict else (12, 180)
     rows = " UNION ALL ".join(f"SELECT qid, {i} AS pos, '{s}' AS source, '{f}' AS field, {x} AS value FROM turns" for i, (s, f, x) in enumerate(_OCCURRENCES))
     first = "min_by(value, pos)" if d.name == "spark" else "arg_min(value, pos)"
     tokens = d.filter(d.split("norm", " "), "w", "w <> ''")
     flag = lambda when: f"max(CASE WHEN {when} THEN 1 ELSE 0 END)"
-    return f"""{turns(d)}, occurrences AS ({rows}), kept AS (SELECT *, {t.normalized(d, "value")} AS norm, {source_kind(d, "source")} AS kind, {field_weight(d, "source", "field")} AS weight FROM occurrences WHERE NOT {bad_surface(d, "value")}),
+    return f"""{turns(d)}, occurrences AS ({rows}), kept AS (SELECT *, {t.normalized(d, "value")} AS norm, {source_kind(d, "source")} AS kind, {field_weight(d, "source", "field", conflict)} AS weight FROM occurrences WHERE NOT {bad_surface(d, "value", *limits)}),
 g AS (SELECT qid, norm, {first} AS candidate, min(pos) AS pos, cast(count(*) AS bigint) AS n, sum(weight) AS w, count(DISTINCT kind) AS kinds, count(DISTINCT source) AS sources, {flag("contains(field, 'contextual_prior_v2')")} AS prior_field,
   {flag("contains(field, 'candidate_context') OR contains(field, 'context_answer')")} AS context_field, {flag("kind = 'choice'")} AS choice, {flag("kind = 'prior'")} AS prior FROM kept GROUP BY qid, norm),
-current AS (SELECT qid, first AS current, {t.normalized(d, "first")} AS cur_norm, {t.tokens(d, "first")} AS cur_tokens, {bad_surface(d, "first")} AS cur_bad, {question_kind(d, "question")} AS kind FROM turns),
+current AS (SELECT qid, first AS current, {t.normalized(d, "first")} AS cur_norm, {t.tokens(d, "first")} AS cur_tokens, {bad_surface(d, "first", *limits)} AS cur_bad, {question_kind(d, "question", conflict)} AS kind FROM turns),
 scored AS (SELECT g.*, norm AS cand_norm, {tokens} AS cand_tokens, {d.size(tokens)} AS cand_size, false AS cand_bad, current, cur_norm, cur_tokens, {d.size("cur_tokens")} AS cur_size, cur_bad, kind FROM g JOIN current c ON g.qid = c.qid)"""
 
 
@@ -137,7 +142,7 @@ def n6_selector(d: Spark, min_score: float = 12.0, min_margin: float = 1.0, min_
 
 def n15_conflicts(d: Spark) -> str:
     """Conflicts ranked by the margin of the best challenger over the current answer and ten, its support, the question's class, less for a mere alias."""
-    return f"""WITH {_groups(d)}, cur AS (SELECT qid, {group_score(d, "current", "cur", True)} AS score FROM scored WHERE norm = cur_norm),
+    return f"""WITH {_groups(d, True)}, cur AS (SELECT qid, {group_score(d, "current", "cur", True)} AS score FROM scored WHERE norm = cur_norm),
   alt AS (SELECT qid, candidate, kind, pos, sources, cur_norm <> '' AND {_alias(d)} AS alias, {group_score(d, "candidate", "cand", True)} AS score FROM scored WHERE norm <> cur_norm), best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r FROM alt)
   SELECT q.qid, CASE WHEN c.qid IS NULL THEN cast(-999 AS double) ELSE round(c.score - (coalesce(k.score, 0) + 10) + least(c.sources, 12) * cast(0.8 AS double) + CASE WHEN kind IN ('yesno', 'comparison', 'number_date', 'person') THEN 4 WHEN kind = 'other' THEN -1 ELSE 0 END - CASE WHEN alias THEN 8 ELSE 0 END, 4) END AS rank_value
   FROM turns q LEFT JOIN cur k ON q.qid = k.qid LEFT JOIN best c ON q.qid = c.qid AND c.r = 1"""
@@ -227,7 +232,7 @@ def n14_choices(d: Spark) -> str:
     """A chosen label resolved to its candidate, or why the current answer stays."""
     rank = "CASE conf WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END"
     return f"""WITH {turns(d)}, k AS (SELECT qid, first, concat('C', cast(1 + conv_id % 4 AS string)) AS label, CASE turn % 8 WHEN 0 THEN 'high' WHEN 2 THEN 'medium' WHEN 4 THEN 'low' ELSE '' END AS conf, CASE conv_id % 7 WHEN 0 THEN 'There is no evidence of it' ELSE 'it says so' END AS why, CASE 1 + conv_id % 4 WHEN 2 THEN second WHEN 3 THEN CASE WHEN turn % 4 = 0 THEN two ELSE 'unknown' END END AS selected FROM turns),
-  r AS (SELECT *, CASE WHEN label NOT IN ('C1', 'C2', 'C3') THEN 'invalid_choice' WHEN label = 'C1' THEN 'chose_current' WHEN {rank} < 2 THEN 'low_confidence' WHEN {bad_surface(d, "selected")} THEN 'bad_surface' WHEN {minor_alias(d, "first", "selected")} THEN 'minor_alias' WHEN {t.has_any(d, "lower(why)", ABSENCE)} THEN 'absence_reason' ELSE 'accepted' END AS reason FROM k)
+  r AS (SELECT *, CASE WHEN label NOT IN ('C1', 'C2', 'C3') THEN 'invalid_choice' WHEN label = 'C1' THEN 'chose_current' WHEN {rank} < 2 THEN 'low_confidence' WHEN {bad_surface(d, "selected", 14, 220)} THEN 'bad_surface' WHEN {minor_alias(d, 'first', 'selected', 'false')} THEN 'minor_alias' WHEN {t.has_any(d, "lower(why)", ABSENCE)} THEN 'absence_reason' ELSE 'accepted' END AS reason FROM k)
   SELECT qid, reason, CASE WHEN reason = 'accepted' THEN selected ELSE first END AS answer FROM r"""
 
 
