@@ -95,6 +95,11 @@ class Spark:
         """A table function for FROM: one row per element."""
         return f"LATERAL explode({a}) AS u_{name}({name})"
 
+    def records(self, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        """A table function for FROM: the given rows of expressions, once for each row of the table before."""
+        each = ", ".join("struct(" + ", ".join(f"{x} AS {n}" for x, n in zip(r, names, strict=True)) + ")" for r in rows)
+        return f"LATERAL inline(array({each})) AS records({', '.join(names)})"
+
     def placed(self, a: str, name: str) -> str:
         """The same with its place from 1 as {name}_at."""
         return f"LATERAL (SELECT at + 1 AS {name}_at, {name} FROM (SELECT posexplode({a}) AS (at, {name})))"
@@ -176,6 +181,10 @@ class Duck(Spark):
     def rows(self, a: str, name: str) -> str:
         return f"LATERAL (SELECT unnest({a}) AS {name})"
 
+    def records(self, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        each = ", ".join("{" + ", ".join(f"'{n}': {x}" for x, n in zip(r, names, strict=True)) + "}" for r in rows)
+        return f"LATERAL (SELECT unnest([{each}], recursive := true)) AS records({', '.join(names)})"
+
     def placed(self, a: str, name: str) -> str:
         return f"LATERAL (SELECT generate_subscripts({a}, 1) AS {name}_at, unnest({a}) AS {name})"
 

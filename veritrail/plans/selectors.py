@@ -113,7 +113,8 @@ _OCCURRENCES = (
 def _groups(d: Spark, conflict: bool = False) -> str:
     """Candidate groups of each turn, its current answer (the first word) and what scores need."""
     limits = (14, 220) if conflict else (12, 180)
-    rows = " UNION ALL ".join(f"SELECT qid, {i} AS pos, '{s}' AS source, '{f}' AS field, {x} AS value FROM turns" for i, (s, f, x) in enumerate(_OCCURRENCES))
+    listed = d.records(("pos", "source", "field", "value"), [(str(i), f"'{s}'", f"'{f}'", x) for i, (s, f, x) in enumerate(_OCCURRENCES)])
+    rows = f"SELECT qid, pos, source, field, value FROM turns, {listed}"
     first = "min_by(value, pos)" if d.name == "spark" else "arg_min(value, pos)"
     tokens = d.filter(d.split("norm", " "), "w", "w <> ''")
     flag = lambda when: f"max(CASE WHEN {when} THEN 1 ELSE 0 END)"
