@@ -412,6 +412,7 @@ def test_damaged_licenses(spark, none):
     assert [(i, n, got[i]) for i, n in want.items() if kin(n) not in map(kin, got[i])] == []
     assert not any(got[i] for i, _ in rows if i not in want)
     assert licenses.scanned(none).count() == 0
+    assert licenses.scanned(spark.createDataFrame([(1, "nothing of it"), (2, None)], "doc_id long, text string")).count() == 0
     many = " ".join([licenses.TEMPLATES["MIT"]] * 3000)
     assert licenses.scanned(spark.createDataFrame([(None, many)], "doc_id long, text string")).count() == 3000
 
