@@ -130,7 +130,7 @@ def _scan(held):
             hits = np.flatnonzero(templates.signal[at] == words)
             owner, begins = np.unique(row_of(rows)[hits], return_index=True)
             docs, out = batch["doc_id"].to_pylist(), []
-            for doc, lo, hi in zip(owner.tolist(), begins.tolist(), [*begins[1:].tolist(), len(hits)], strict=True):
+            for doc, lo, hi in zip(owner.tolist(), begins.tolist(), np.append(begins, len(hits))[1:].tolist(), strict=True):
                 a, b = int(rows[doc]), int(rows[doc + 1])
                 out += [(docs[doc], *p) for p in templates.found(words[a:b], (hits[lo:hi] - a).tolist())]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
