@@ -244,8 +244,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         raise ValueError("a window has one word at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    found, names = _repeated(docs.mapInArrow(_anchored(window), "name long, doc long, lo int"), ["name"])
+    # Written, so that no text is recompressed twice for it: once for the counts, once for the join.
+    anchored = written(docs.mapInArrow(_anchored(window), "name long, doc long, lo int"), "anchored")
+    found, names = _repeated(anchored, ["name"])
     found = written(found.select("doc", "lo"), "anchors")
+    dropped(docs.sparkSession, anchored, names)
     # A set: of a row that stands many times, the places are listed once.
     per_doc = found.groupBy("doc").agg(F.collect_set("lo").alias("known"))
     held = written(docs.join(per_doc, "doc").mapInArrow(_compared(window), "name long, d1 long, d2 long, doc long, lo int, windows array<long>"), "stretches")
@@ -264,6 +267,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     masks = written(masks, "masks")
     rows = held.selectExpr(*kind, "doc", "lo", "size(windows) AS k").join(masks, kind)
     starts = written(rows.groupBy("doc").agg(F.collect_set(F.struct("lo", "k", "mask")).alias("repeated")), "repeats")
-    dropped(docs.sparkSession, found, names, twice, held, kinds, mixed, single, masks)
+    dropped(docs.sparkSession, found, twice, held, kinds, mixed, single, masks)
     out = docs.join(starts, "doc", "left").mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
