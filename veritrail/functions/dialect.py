@@ -7,6 +7,11 @@ engines: literals, lambdas, arrays and regular expressions.
 from __future__ import annotations
 
 
+#: Letters that Java turns into several in upper case, and those of them that have one letter of their own there.
+_MANY = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+_ONE = {c: "ẞ" if c == "ß" else c.title() for c in _MANY if c == "ß" or len(c.title()) == 1 and c.title() != c}
+
+
 class Spark:
     name = "spark"
 
@@ -87,6 +92,11 @@ class Spark:
     def number(self, x: str) -> str:
         return f"try_cast({x} AS double)"
 
+    def upper(self, x: str) -> str:
+        """Upper case letter by letter: one that has no upper case of one letter stays."""
+        each = f"CASE WHEN contains('{_MANY}', c) THEN translate(c, '{''.join(_ONE)}', '{''.join(_ONE.values())}') ELSE upper(c) END"
+        return f"CASE WHEN {self.rlike(x, f'[{_MANY}]')} THEN array_join(transform(split({x}, ''), c -> {each}), '') ELSE upper({x}) END"
+
     def articles(self, x: str) -> str:
         """x with the words a, an and the as spaces."""
         return self.rep(x, r"\b(a|an|the)\b", " ")
@@ -174,6 +184,9 @@ class Duck(Spark):
     def sha(self, x: str) -> str:
         return f"sha256({x})"
 
+    def upper(self, x: str) -> str:
+        return f"upper({x})"
+
     def articles(self, x: str) -> str:
         once = lambda y: self.rep(y, r"(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])", r"\1 \2")
         return once(once(x))
