@@ -18,19 +18,40 @@ _GRAPH_ASKS = "SELECT r_regionkey AS qid, concat('which nation is in region ', l
 
 
 def _triples(d: Spark) -> str:
-    return f"""{v.kg(d)}, facts AS (SELECT h, r, t, concat(h, ' -- ', r, ' --> ', t) AS triple, concat(replace(h, ':', ' '), ' ', replace(r, '_', ' '), ' ', replace(t, ':', ' ')) AS body FROM (SELECT DISTINCT h, r, t FROM triples) x),
-  {_bm25(d, _GRAPH_ASKS, "SELECT triple AS pid, body FROM facts", _lowered(d))}, best AS (SELECT qid, pid AS triple, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS nth FROM scores WHERE score > 0)"""
+    best = "best AS (SELECT qid, pid AS triple, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS nth FROM scores WHERE score > 0)"
+    text = "concat(h, ' -- ', r, ' --> ', t) AS triple, concat(replace(h, ':', ' '), ' ', replace(r, '_', ' '), ' ', replace(t, ':', ' ')) AS body"
+    if d.name == "spark":
+        return f"{v.counted()}, facts AS (SELECT h, r, t, {text} FROM counted), {_bm25_once(d, _GRAPH_ASKS, 'SELECT triple AS pid, body FROM facts', _lowered(d))}, {best}"
+    return f"""{v.kg(d)}, facts AS (SELECT h, r, t, {text} FROM (SELECT DISTINCT h, r, t FROM triples) x),
+  {_bm25(d, _GRAPH_ASKS, "SELECT triple AS pid, body FROM facts", _lowered(d))}, {best}"""
+
+
+def _bm25_once(d: Spark, queries: str, corpus: str, words) -> str:
+    """For Spark, the scores of _bm25 for few queries over a corpus of distinct pids: no word of a passage moves, but counts of words and those words that queries have."""
+    return f"""corpus AS ({corpus}), asks AS ({queries}), worded AS (SELECT pid, w, cast({d.size("w")} AS double) AS dl FROM (SELECT pid, {words("body")} AS w FROM corpus) x),
+  totals AS (SELECT cast(count(*) AS double) AS n, sum(dl) / count(*) AS avgdl FROM worded), holders AS (SELECT term, count(*) AS df FROM (SELECT explode(array_distinct(w)) AS term FROM worded) x GROUP BY term),
+  raw_idf AS (SELECT term, ln(n - df + 0.5) - ln(df + cast(0.5 AS double)) AS idf FROM holders JOIN totals ON true), mean_idf AS (SELECT avg(idf) AS m FROM raw_idf),
+  ask_terms AS (SELECT qid, term, cast(count(*) AS double) AS qtf FROM asks, {d.rows(words("question"), "term")} GROUP BY qid, term), asked AS (SELECT collect_set(term) AS terms FROM ask_terms),
+  idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM raw_idf LEFT SEMI JOIN ask_terms USING (term) JOIN mean_idf ON true), weights AS (SELECT qid, a.term, qtf * idf AS weight FROM ask_terms a JOIN idf i ON i.term = a.term),
+  doc_terms AS (SELECT pid, dl, term, cast(size(w) - size(array_remove(w, term)) AS double) AS tf FROM (SELECT pid, dl, w, explode(array_intersect(w, terms)) AS term FROM worded JOIN asked ON true) x),
+  scores AS (SELECT /*+ BROADCAST(a) */ a.qid, x.pid, round(sum(a.weight * x.tf * 2.5 / (x.tf + 1.5 * (0.25 + 0.75 * x.dl / avgdl))), 4) AS score FROM doc_terms x JOIN weights a ON a.term = x.term JOIN totals ON true GROUP BY a.qid, x.pid)"""
+
+
+def _top(d: Spark, more: str = "") -> str:
+    """The twenty best triples of each question; so few that on Spark they go to where the triples are."""
+    return f"top AS (SELECT {'/*+ BROADCAST(best) */ ' if d.name == 'spark' else ''}qid, h, t{more} FROM best JOIN facts ON best.triple = facts.triple WHERE nth <= 20)"
 
 
 def l7_seeds(d: Spark) -> str:
     """Seed nodes: heads and tails of the twenty triples, of all, that score best for a question."""
-    return f"{_with(d, _triples(d))}, top AS (SELECT qid, h, t FROM best JOIN facts ON best.triple = facts.triple WHERE nth <= 20) SELECT qid, h AS node FROM top UNION SELECT qid, t FROM top"
+    return f"{_with(d, _triples(d))}, {_top(d)} SELECT qid, h AS node FROM top UNION SELECT qid, t FROM top"
 
 
 def l9_retrieval(d: Spark) -> str:
     """Triples that touch the seeds of a question, by the order of their seeds, then the twenty best by score; the first of each, fifty at most."""
-    return f"""{_with(d, _triples(d))}, top AS (SELECT qid, h, t, nth FROM best JOIN facts ON best.triple = facts.triple WHERE nth <= 20), seeds AS (SELECT qid, node, min(nth) AS nth FROM (SELECT qid, h AS node, nth FROM top UNION ALL SELECT qid, t, nth FROM top) x GROUP BY qid, node),
-  near AS (SELECT qid, triple, min(nth) AS nth FROM (SELECT s.qid, f.triple, s.nth FROM seeds s JOIN facts f ON f.h = s.node UNION ALL SELECT s.qid, f.triple, s.nth FROM seeds s JOIN facts f ON f.t = s.node) x GROUP BY qid, triple),
+    few = "/*+ BROADCAST(s) */ " if d.name == "spark" else ""
+    return f"""{_with(d, _triples(d))}, {_top(d, ", nth")}, seeds AS (SELECT qid, node, min(nth) AS nth FROM (SELECT qid, h AS node, nth FROM top UNION ALL SELECT qid, t, nth FROM top) x GROUP BY qid, node),
+  near AS (SELECT qid, triple, min(nth) AS nth FROM (SELECT {few}s.qid, f.triple, s.nth FROM seeds s JOIN facts f ON f.h = s.node UNION ALL SELECT {few}s.qid, f.triple, s.nth FROM seeds s JOIN facts f ON f.t = s.node) x GROUP BY qid, triple),
   listed AS (SELECT qid, triple, 0 AS part, nth FROM near UNION ALL SELECT qid, triple, 1, nth FROM best WHERE nth <= 20), once AS (SELECT *, row_number() OVER (PARTITION BY qid, triple ORDER BY part, nth) AS seen FROM listed),
   k AS (SELECT qid, triple, part, row_number() OVER (PARTITION BY qid ORDER BY part, nth, triple) AS place FROM once WHERE seen = 1) SELECT qid, triple, part = 0 AS by_graph, cast(place AS bigint) AS place FROM k WHERE place <= 50"""
 
