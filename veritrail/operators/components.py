@@ -52,17 +52,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame
     return reached
 
 
-def distances(sides: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+def distances(sides: DataFrame | list[DataFrame], sources: DataFrame, hops: int) -> DataFrame:
     """origin, node and hops (their distance) within hops edges of sources (origin); sides has each edge (x, y) in both directions.
 
-    sides is written once; a round joins its front alone, and what is reached is written by round. A hub's edges
-    are one side of a join whose hot keys Spark splits.
+    One table of sides is written once; a list has one for each round, of the edges that its front can have, and
+    isn't written. A round joins its front alone, and what is reached is written by round but for the last. A hub's
+    edges are one side of a join whose hot keys Spark splits.
     """
-    sides = cut(sides.distinct())
+    if isinstance(sides, DataFrame):
+        sides = [cut(sides.distinct())] * hops
     front = cut(sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("bigint").alias("hops")).distinct())
     reached = front
     for hop in range(1, hops + 1):
-        step = front.select("origin", F.col("node").alias("x")).join(sides, "x").select("origin", F.col("y").alias("node")).distinct()
-        front = cut(step.join(reached.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(hop).cast("bigint").alias("hops")))
+        step = front.select("origin", F.col("node").alias("x")).join(sides[hop - 1], "x").select("origin", F.col("y").alias("node")).distinct()
+        front = step.join(reached.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(hop).cast("bigint").alias("hops"))
+        if hop < hops:
+            front = cut(front)
         reached = reached.unionByName(front)
     return reached

@@ -21,14 +21,20 @@ def l14_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reached(plan, hops: int):
-    """A plan over the view reached: nodes within hops edges of each region in the graph of all triples, found in rounds of joins."""
+    """A plan over the view reached: nodes within hops edges of each region in the graph of all triples, found in rounds of joins.
+
+    A round reads only the triples that an edge of its front can be: regions have nations for neighbours, these customers and suppliers, and so on.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text, sides = plan(SPARK), f"WITH {v.kg(SPARK)},{graph.UNDIRECTED} SELECT x, y FROM sides"
+        text, fronts = plan(SPARK), [("region",)]
+        for _ in range(hops - 1):
+            fronts.append(v.neighbours(*fronts[-1]))
+        steps = [f"WITH {v.sides(kinds)} SELECT x, y FROM sides" for kinds in fronts]
         for name in TABLES:
-            if name in text + sides:
+            if name in text + " ".join(steps):
                 spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        distances(spark.sql(sides), spark.sql(graph._REGIONS).select("origin"), hops).createOrReplaceTempView("reached")
+        distances([spark.sql(step) for step in steps], spark.sql(graph._REGIONS).select("origin"), hops).createOrReplaceTempView("reached")
         return spark.sql(text)
 
     run.__name__, run.__doc__ = plan.__name__, plan.__doc__
