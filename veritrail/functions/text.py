@@ -37,8 +37,25 @@ def tidy(d: Spark, x: str) -> str:
     return f"trim({d.rep(x, r'[ \t\n\r\f\x0b]+', ' ')})"
 
 
+#: White space between words.
+WHITE = r"[ \t\n\r\f\x0b]+"
+
+
 def words(d: Spark, x: str) -> str:
-    return d.filter(d.split(x, r"[ \t\n\r\f\x0b]+"), "w", "w <> ''")
+    return d.filter(d.split(x, WHITE), "w", "w <> ''")
+
+
+def first_words(d: Spark, x: str, n: int) -> str:
+    """The first n words; Spark splits no further than these."""
+    found = f"split({x}, {d.lit(WHITE)}, {n + 2})" if d.name == "spark" else d.split(x, WHITE)
+    return d.slice(d.filter(found, "w", "w <> ''"), "1", str(n))
+
+
+def last_word(d: Spark, x: str) -> str:
+    """The last word, null without one; Spark searches from the end."""
+    if d.name != "spark":
+        return d.at(words(d, x), -1)
+    return f"nullif(substring_index(rtrim(translate({x}, '\\t\\n\\r\u000c\u000b', '     ')), ' ', -1), '')"
 
 
 def n_words(d: Spark, x: str) -> str:
