@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -28,15 +30,30 @@ def extractive(question: pd.Series, evidence: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"answer": answers, "confidence": scores})
 
 
+#: Characters of evidence that a reader gets at once, unless one row has more.
+READ_CHARACTERS = 4 << 20
+
+
 def read(df: DataFrame, reader: Reader = extractive, question: str = "question", evidence: str = "evidence") -> DataFrame:
-    """df with answer and confidence; columns of those names are replaced."""
+    """df with answer and confidence; columns of those names are replaced.
+
+    Only question and evidence become Python texts, READ_CHARACTERS of them at a time; other columns pass as they are.
+    """
     df = df.drop("answer", "confidence")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.concat([batch.reset_index(drop=True), reader(batch[question], batch[evidence]).reset_index(drop=True)], axis=1)
+            sizes = pc.fill_null(pc.binary_length(batch[evidence]), 0).to_numpy(zero_copy_only=False).cumsum()
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(sizes.searchsorted((sizes[begin - 1] if begin else 0) + READ_CHARACTERS, side="right")))
+                part = batch.slice(begin, end - begin)
+                found = reader(part[question].to_pandas(), part[evidence].to_pandas())
+                answers = [pa.array(found["answer"].tolist(), pa.string()), pa.array(found["confidence"].tolist(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *answers], names=[*part.schema.names, "answer", "confidence"])
+                begin = end
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("answer", StringType()), StructField("confidence", DoubleType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("answer", StringType()), StructField("confidence", DoubleType())]))
 
 
 def iterative(questions: DataFrame, sentences: DataFrame, steps: int = 3, per_step: int = 5, reader: Reader = extractive) -> DataFrame:
