@@ -80,6 +80,11 @@ def n12_overlay(d: Spark) -> str:
 
 def n16_alternatives(d: Spark) -> str:
     """Distinct alternatives to the current answer in fixed order."""
+    if d.name == "spark":
+        # Each answer is normalized once, and rows of a document meet by one shuffle of these forms.
+        forms = ", ".join(f"struct({i} AS pos, {t.normalized(d, x)} AS norm)" for i, x in ((1, "first_word"), (2, "second_word"), (3, "opening"), (4, "lang"), (5, "first_word"), (6, "last_word")))
+        return f"""{_with(d, v.candidates(d))}, n AS (SELECT qid, a.pos, a.norm FROM (SELECT qid, explode(array({forms})) AS a FROM wide WHERE qid IS NOT NULL) x), w AS (SELECT *, collect_set(CASE WHEN pos = 1 THEN norm END) OVER (PARTITION BY qid) AS currents FROM n),
+  f AS (SELECT qid, norm, min(pos) AS pos FROM w WHERE norm <> '' AND exists(currents, c -> c <> norm) GROUP BY qid, norm) SELECT qid, norm, cast(row_number() OVER (PARTITION BY qid ORDER BY pos) AS bigint) AS place FROM f"""
     return f"""{_with(d, v.candidates(d), _normed(d))}, cur AS (SELECT qid, norm AS current FROM normed WHERE src = 'reader'), f AS (SELECT n.qid, n.norm, min(n.pos) AS pos FROM normed n JOIN cur c ON n.qid = c.qid WHERE n.norm <> '' AND n.norm <> c.current GROUP BY n.qid, n.norm)
   SELECT qid, norm, cast(row_number() OVER (PARTITION BY qid ORDER BY pos) AS bigint) AS place FROM f"""
 
